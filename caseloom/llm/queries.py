@@ -12,6 +12,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.winnow import contamination, n_hit
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, w=6)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op9_seekable_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from caseloom.llm.tokenfiles import write_tokens
+
+    return write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0).summary()
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.simhash import near_duplicates
 
@@ -20,6 +42,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_winnowing": op3_winnowing,
+    "op9_seekable_zstd": op9_seekable_zstd,
     "op10_simhash": op10_simhash,
 }
 
