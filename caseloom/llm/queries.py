@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.flac import stored_digests
+
+    return stored_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.winnow import contamination, n_hit
 
@@ -42,6 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_flac": op2_flac,
     "op3_winnowing": op3_winnowing,
     "op9_seekable_zstd": op9_seekable_zstd,
     "op10_simhash": op10_simhash,

@@ -24,6 +24,8 @@ table gives no rows; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.llm.blocks import sliced
 from caseloom.scratch import new_path
 
 ID_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 #: Stands for a null document id in the files.
 NO_ID = -(1 << 63)
-#: Words kept with their ids in a worker, and the longest such word.
-WORDS, WORD_CHARS = 250_000, 48
+#: Pieces of each of two generations kept with their ids in a worker.
+PIECES = 250_000
+#: Bytes of text encoded in one step.
+CHUNK = 1 << 20
 
 
 def _store(uri: str):
@@ -49,49 +54,79 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class WordEncoder:
-    """A tokenizer's ids as packed bytes, with the ids of frequent words kept.
+class Kept:
+    """A bounded map in two generations: entries not used while the younger one fills are dropped."""
 
-    For byte-level BPE a single space before anything but white space always
-    starts a new piece, so a text's ids are those of its parts cut before such
-    spaces.  Texts for which this does not hold go to the tokenizer whole.
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """The keys that aren't kept; the others are in the younger generation afterwards."""
+        lost = keys.difference(self.young)
+        back = lost.intersection(self.old)
+        for key in back:
+            self.young[key] = self.old[key]
+        return lost - back
+
+    def turn(self) -> None:
+        """Ends a step; in a step the younger generation may outgrow its bound by what the step needs."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
+class PieceEncoder:
+    """A byte-level tokenizer's ids as packed bytes, with the ids of frequent pieces kept.
+
+    Texts of ASCII and Latin letters are cut by the tokenizer's own pattern,
+    written for UTF-8 bytes, and its model encodes the pieces that aren't kept.
+    Texts with other characters or special tokens go to the tokenizer whole.
     """
 
+    #: The pattern of byte-level pre-tokenizers for such texts; a byte from 128 on belongs to a letter.
+    CUT = re.compile(rb" ?[A-Za-z\x80-\xff]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+").findall
+    PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*").fullmatch
+
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        setting = json.loads(self.model.to_str())
+        first = setting["pre_tokenizer"] or {}
+        self.cuts = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex") and not setting["normalizer"]
+        self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
         self.dtype = np.dtype(dtype)
-        self.words: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        self.signs = str.maketrans(_byte_signs())
+        self.pieces = Kept(PIECES)
 
     def whole(self, text: str) -> bytes:
-        return self._pack(self.model.encode(text, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> bytes:
-        head, *words = text.split(" ")
-        kept = self.words
-        try:
-            tail = b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in kept]
-            if any(not w or w[0].isspace() for w in new):
-                return self.whole(text)
-            found = dict(zip(new, (self._pack(e.ids) for e in self.model.encode_batch([f" {w}" for w in new], add_special_tokens=False))))
-            if all(len(w) <= WORD_CHARS for w in new):
-                if len(kept) + len(new) > WORDS:
-                    kept = {}
-                kept.update(found)
-                self.words = kept if len(kept) <= WORDS else {}
-            tail = b"".join([found[w] if w in found else self._of(w) for w in words])
-        return self.whole(head) + tail if head else tail
-
-    def _of(self, word: str) -> bytes:
-        if (known := self.words.get(word)) is None:
-            known = self._pack(self.model.encode(f" {word}", add_special_tokens=False).ids)
-        return known
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; best for a megabyte or so at a time."""
+        cuts = [self.CUT(t.encode()) if self.cuts and self.PLAIN(t) and not any(x in t for x in self.special) else None for t in texts]
+        kept, tokenize, signs, dtype = self.pieces.young, self.model.model.tokenize, self.signs, self.dtype
+        for piece in self.pieces.missing(set().union(*(c for c in cuts if c))):
+            kept[piece] = np.array([t.id for t in tokenize(piece.decode("latin-1").translate(signs))], dtype).tobytes()
+        known = kept.__getitem__
+        out = [self.whole(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cuts)]
+        self.pieces.turn()
+        return out
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level tokenizers write for each byte: itself if visible in Latin-1, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in seen else 256 + sum(x not in seen for x in range(b)) for b in range(256)}
+
+
+_encoders: dict[tuple[str, str], PieceEncoder] = {}
+
+
+def encoder_of(path: str, dtype: str) -> PieceEncoder:
+    """This process's encoder; workers that are used again keep what they have learnt."""
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = PieceEncoder(path, dtype)
+    return _encoders[path, dtype]
 
 
 class Writer:
@@ -270,18 +305,18 @@ def write_tokens(
         part, name = task.partitionId(), f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
         encoder = end = writer = None
         n_docs = n_ids = 0
-        for batch in batches:
+        for batch in sliced(batches, 1, CHUNK):
             if batch.num_rows and writer is None:
                 store, where = _store(name)
                 store.create_dir(where.rpartition("/")[0], recursive=True)
                 writer = Writer(store.open_output_stream(where, compression=None), width, level)
-                encoder = WordEncoder(tokenizer, f"<u{width}")
+                encoder = encoder_of(tokenizer, f"<u{width}")
                 end = np.array([end_id], encoder.dtype).tobytes()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = encoder.encode(text.as_py() or "") + end
-                writer.add(doc_id, packed)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+                writer.add(doc_id, ids + end)
                 n_docs += 1
-                n_ids += len(packed) // width
+                n_ids += len(ids) // width + 1
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))

@@ -19,19 +19,19 @@ def plain(model, text):
 
 def test_ids_equal_the_tokenizers_own():
     model, rng = Tokenizer.from_file(PATH), random.Random(2)
-    encoder = T.WordEncoder(PATH, "<u2")
+    encoder = T.PieceEncoder(PATH, "<u2")
     chars = "ab Z9'.,\n\t  é　漢-"
     for text in [x for x in ODD if x is not None] + ["".join(rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(3000)]:
-        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(encoder.encode_many([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_kept_words_stay_bounded(monkeypatch):
-    monkeypatch.setattr(T, "WORDS", 5)
-    model, encoder = Tokenizer.from_file(PATH), T.WordEncoder(PATH, "<u2")
+    monkeypatch.setattr(T, "PIECES", 5)
+    model, encoder = Tokenizer.from_file(PATH), T.PieceEncoder(PATH, "<u2")
     for i in range(30):
         text = f"a b{i} c{i % 3} d" + "e" * 60 + " a"
-        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
-        assert len(encoder.words) <= 5
+        assert np.frombuffer(encoder.encode_many([text])[0], "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
+        assert len(encoder.pieces.young) + len(encoder.pieces.old) <= 24
 
 
 def test_round_trip(spark):
