@@ -377,7 +377,7 @@ def _predicted(bits: _Bits, at: np.ndarray, sizes: np.ndarray, depth: np.ndarray
     at += 6
     step = sizes >> parts
     rice_bits, last = 4 + method, (np.int64(1) << 4 + method) - 1
-    k, raw, change = np.zeros(n, np.uint64), np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    k, raw, change, before = np.zeros(n, np.uint64), np.full(n, -1, np.int64), np.zeros(n, np.int64), order.copy()
     live = np.searchsorted(-count, -np.arange(int(count[0])), "left")
     one, top, rest = np.uint64(1), np.uint64(48), np.uint64(63)
     due = 0
@@ -391,9 +391,8 @@ def _predicted(bits: _Bits, at: np.ndarray, sizes: np.ndarray, depth: np.ndarray
             e = new[escaped]
             raw[e] = bits.take(at[e], 5)
             at[e] += 5
-            change[new] += step[new] - (order[new] if t == 0 else 0)
-            again = new[change[new] == t]  # an empty first partition
-            change[again[step[again] == 0]] = 1 << 40
+            change[new] += step[new] - before[new]  # the first partition lacks the warm-up samples
+            before[new] = 0
             due = int(change[:a].min())
         p, kk = at[:a], k[:a]
         w = bits.words[np.minimum(p >> 3, bits.most)].astype(np.uint64) << (p & 7).astype(np.uint64)

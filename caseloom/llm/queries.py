@@ -32,6 +32,34 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined(spans, kinds: tuple[str, ...] | None = None):
+    """kind:start:end of the spans (of some kinds), comma-joined in their order."""
+    some = spans if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _number(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.pii import BASE, personal_data
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *[_number(base, k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.secrets import secret_spans
+
+    base = ("assign", "access", "hex")
+    spans = F.col("spans")
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *[_number(spans, k) for k in base], F.sha2(_joined(spans, base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
 def op9_seekable_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +78,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac": op2_flac,
     "op3_winnowing": op3_winnowing,
+    "op4_weak_supervision": op4_weak_supervision,
+    "op8_secrets": op8_secrets,
     "op9_seekable_zstd": op9_seekable_zstd,
     "op10_simhash": op10_simhash,
 }
