@@ -107,7 +107,7 @@ def _proposal(kind: str) -> str:
     }.get(kind, vote("false", "false"))
     good = vote(_any_word("x.pre", GOOD_WORDS), "false")
     bad = vote("false", _any_word("x.pre", BAD_WORDS))
-    junk = vote("false", rf"{w} rlike '^([0-9])[ .-]?(\\1[ .-]?)+$|^(19|20)[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}$|^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.](19|20)[0-9]{{2}}$'")
+    junk = vote("false", rf"{w} rlike '^([0-9])(?:[ .-]?\\1)++$|^(19|20)[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}$|^[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.](19|20)[0-9]{{2}}$'")
     length = f"cast(case when length({w}) < 9 then 0 when length({w}) < 16 then 1 when length({w}) < 24 then 2 else 3 end as tinyint)"
     digit = f"cast(case when {digits} * 10 < length({w}) * 3 then 0 when {digits} * 10 < length({w}) * 9 then 1 else 2 end as tinyint)"
     marks = f"length({w}) - length(regexp_replace({w}, '[^A-Za-z0-9]', ''))"
