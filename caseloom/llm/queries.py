@@ -51,6 +51,24 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[_number(base, k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def op6_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.mixing import n_words, plan_mix, with_copies
+    from caseloom.scratch import save
+
+    sized = save(_table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size")), "sizes")
+    found = with_copies(sized, plan_mix(sized))
+    return found.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
+
+
+def op7_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.quality import held_out, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), cut=0.3)
+    found = docs.select("doc_id", held_out().alias("held_out"), model.column("text").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.secrets import secret_spans
 
@@ -79,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_flac": op2_flac,
     "op3_winnowing": op3_winnowing,
     "op4_weak_supervision": op4_weak_supervision,
+    "op6_pareto": op6_pareto,
+    "op7_bradley_terry": op7_bradley_terry,
     "op8_secrets": op8_secrets,
     "op9_seekable_zstd": op9_seekable_zstd,
     "op10_simhash": op10_simhash,
