@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.pages import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.flac import stored_digests
 
@@ -51,6 +57,14 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[_number(base, k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def op5_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from caseloom.llm.wordpiece import piece_counts
+
+    return piece_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+
+
 def op6_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.mixing import n_words, plan_mix, with_copies
     from caseloom.scratch import save
@@ -94,9 +108,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tag_paths": op1_tag_paths,
     "op2_flac": op2_flac,
     "op3_winnowing": op3_winnowing,
     "op4_weak_supervision": op4_weak_supervision,
+    "op5_wordpiece": op5_wordpiece,
     "op6_pareto": op6_pareto,
     "op7_bradley_terry": op7_bradley_terry,
     "op8_secrets": op8_secrets,

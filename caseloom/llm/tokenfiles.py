@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.blocks import sliced
+from caseloom.llm.kept import Kept
 from caseloom.scratch import new_path
 
 ID_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
@@ -54,26 +55,6 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class Kept:
-    """A bounded map in two generations: entries not used while the younger one fills are dropped."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: set[bytes]) -> set[bytes]:
-        """The keys that aren't kept; the others are in the younger generation afterwards."""
-        lost = keys.difference(self.young)
-        back = lost.intersection(self.old)
-        for key in back:
-            self.young[key] = self.old[key]
-        return lost - back
-
-    def turn(self) -> None:
-        """Ends a step; in a step the younger generation may outgrow its bound by what the step needs."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-
-
 class PieceEncoder:
     """A byte-level tokenizer's ids as packed bytes, with the ids of frequent pieces kept.
 
