@@ -15,6 +15,12 @@ neighbours as midpoints.  Fingerprints within 2 bits share a midpoint, and
 those that share one are within 2 bits, so linking every member of a midpoint
 to its least member loses no connection; a midpoint has at most 65 members.
 
+With more than one fingerprint for each text (`prints`), each of further
+scrambles of the same shingle hashes, texts are linked if any of their
+fingerprints are within d bits.  At distance 2 one fingerprint finds a pair of
+similarity 0.97 three times in ten, four find it seven times in ten; unrelated
+texts stay apart.
+
 Cases: a null or empty text has fingerprint zero, which links like any other;
 a text with fewer words than a shingle is one shingle; repeated shingles count
 each time; repeated rows and equal texts have equal fingerprints; an empty
@@ -71,46 +77,45 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(on.astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the 64-bit fingerprint as a signed long, for each row of docs."""
+def _scrambled(hashes: np.ndarray, j: int) -> np.ndarray:
+    """The j-th family of hashes; the first are the hashes themselves."""
+    if j == 0:
+        return hashes
+    x = hashes ^ np.uint64(0x9E3779B97F4A7C15 * j & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, prints: int = 1) -> DataFrame:
+    """(id, fp0, fp1, ...): 64-bit fingerprints as signed longs, for each row of docs."""
+    names = ["id", *[f"fp{j}" for j in range(prints)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes: list[np.ndarray] = []
-            sizes: list[int] = []
-            marks: list[np.ndarray] = []
+            marks: list[list[np.ndarray]] = [[] for _ in range(prints)]
             held = 0
 
             def flush() -> None:
-                nonlocal hashes, sizes, held
-                if sizes:
-                    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-                    marks.append(majority(flat, np.concatenate(([0], np.cumsum(sizes)))))
-                hashes, sizes, held = [], [], 0
+                nonlocal hashes, held
+                if hashes:
+                    flat, bounds = np.concatenate(hashes), np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+                    for j in range(prints):
+                        marks[j].append(majority(_scrambled(flat, j), bounds))
+                hashes, held = [], 0
 
             for text in batch.column(1):
                 found = np.array(shingle_hashes((text.as_py() or "").encode(), shingle), np.uint64)
                 hashes.append(found)
-                sizes.append(len(found))
                 held += len(found)
                 if held > 1 << 18:
                     flush()
             flush()
-            fp = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array((np.concatenate(m) if m else np.zeros(0, np.uint64)).view(np.int64)) for m in marks]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
-
-
-def _keys(segments: int) -> list[tuple[int, int]]:
-    """(key number, mask of the bits that count) of every one-wildcard variant."""
-    cuts = [64 * i // segments for i in range(segments + 1)]
-    out = []
-    for low, high in zip(cuts, cuts[1:]):
-        whole = ((1 << high) - 1) ^ ((1 << low) - 1)
-        out += [(len(out) + i, whole & ~(1 << bit)) for i, bit in enumerate(range(low, high))]
-    return out
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
 def _signed(x: int) -> int:
@@ -118,9 +123,18 @@ def _signed(x: int) -> int:
 
 
 def variant_index(prints: DataFrame, distance: int) -> DataFrame:
-    """(k, part, fp): fp under each of its one-wildcard segment variants."""
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for _, m in _keys(distance // 2 + 1)])
-    return prints.select("fp", F.posexplode(masks).alias("k", "mask")).select("k", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+    """(key, fp): fp under each of its one-wildcard segment variants.
+
+    A key packs the variant's number (segment and wildcard) above the segment's
+    bits without the wildcard, so keys are equal only if both are.
+    """
+    segments = distance // 2 + 1
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    variants = []
+    for low, high in zip(cuts, cuts[1:]):
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(_signed((1 << (high - low)) - 1)).cast("long"))
+        variants += [part.bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ (1 << bit))).cast("long")) + F.lit((len(variants) + bit) << 32) for bit in range(high - low)]
+    return prints.select(F.explode(F.array(*variants)).alias("key"), "fp")
 
 
 def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
@@ -130,13 +144,11 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     dropped after a count that is pre-aggregated before its shuffle.
     """
     index = variant_index(prints, distance)
-    counts = index.groupBy("k", "part").agg(F.count("*").alias("n"), F.min("fp").alias("lo")).where("n > 1")
-    shared = save(index.join(counts, ["k", "part"]).select("k", "part", "fp", "n"), "variants")
-    calm = shared.where(F.col("n") <= crowd).select("k", "part", "fp")
+    counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = save(index.join(counts, "key").select("key", "fp", "n"), "variants")
+    calm = shared.where(F.col("n") <= crowd).select("key", "fp")
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance
-    found = (
-        calm.withColumnRenamed("fp", "src").join(calm.withColumnRenamed("fp", "dst"), ["k", "part"]).where(F.col("src") < F.col("dst")).where(near).select("src", "dst")
-    )
+    found = calm.withColumnRenamed("fp", "src").join(calm.withColumnRenamed("fp", "dst"), "key").where(F.col("src") < F.col("dst")).where(near).select("src", "dst")
     crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
     return found.unionByName(_through_midpoints(crowded, distance)).distinct()
 
@@ -155,14 +167,29 @@ def _through_midpoints(prints: DataFrame, distance: int) -> DataFrame:
     return near.select(F.col("all")[0].alias("src"), F.explode(F.slice("all", 2, 65)).alias("dst")) if distance == 2 else near.select(F.explode("all").alias("src"), F.col("mid").alias("dst")).where("src <> dst")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(id, fp, component): component is the least id reachable over links of at most `distance` bits."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, prints: int = 1) -> DataFrame:
+    """(id, fp, component): component is the least id reachable over links of at most `distance` bits.
+
+    fp is the first fingerprint.
+    """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
-    marks = save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    groups = save(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fingerprints")
-    parts = connected_components(links(groups.select("fp"), distance))
-    named = groups.join(parts, groups["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    names = [f"fp{j}" for j in range(prints)]
+    node = F.col("fp0") if prints == 1 else F.xxhash64(*names)
+    marks = save(fingerprints(docs, id_col, text_col, shingle, prints).withColumn("node", node), "fingerprints")
+    groups = save(marks.groupBy("node", *names).agg(F.min("id").alias("least")), "distinct_fingerprints")
+    edges = None
+    for name in names:
+        if prints == 1:
+            found = links(groups.select(F.col(name).alias("fp")), distance)
+        else:
+            heads = save(groups.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")), "heads")
+            far = links(heads.select("fp"), distance)
+            far = far.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
+            found = far.unionByName(groups.join(heads, groups[name] == heads["fp"]).select(F.col("node").alias("a"), F.col("head").alias("b"))).where("a <> b").toDF("src", "dst")
+        edges = found if edges is None else edges.unionByName(found)
+    parts = connected_components(edges)
+    named = groups.join(parts, groups["node"] == parts["node"], "left").select(groups["node"], "least", F.coalesce("component", groups["node"]).alias("part"))
     heads = named.groupBy("part").agg(F.min("least").alias("component"))
-    classes = named.join(heads, "part").select("fp", "component")
-    return marks.join(classes, "fp").select("id", "fp", "component")
+    classes = named.join(heads, "part").select("node", "component")
+    return marks.join(classes, "node").select("id", F.col("fp0").alias("fp"), "component")

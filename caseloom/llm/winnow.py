@@ -186,18 +186,11 @@ def _block_pass(docs: DataFrame, side) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: TestSide = side.value
         for batch in sliced(batches, 1, CHUNK):
-            data, offsets = utf8(batch.column(1))
-            low, starts, ends = words_of(_with_breaks(data, offsets))
+            low, starts, ends, firsts = _cut(batch.column(1))
             hashes = word_hashes(low, starts, ends)
-            # document i begins after i inserted breaks
-            firsts = np.searchsorted(starts, offsets + np.arange(len(offsets)))
             spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i in range(batch.num_rows):
-                a, b = int(firsts[i]), int(firsts[i + 1])
-                if a == b:
-                    continue
-                own_starts, own_ends = starts[a:b], ends[a:b]
-                for x, y, item in block.spans(hashes[a:b], lambda j: low[own_starts[j] : own_ends[j]].tobytes()):
+            for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
+                for x, y, item in block.spans(hashes[a:b], _words_from(low, starts[a:b], ends[a:b])):
                     spans[i] += [x, y]
                     items[i].append(block.ids[item])
             yield pa.RecordBatch.from_arrays(
@@ -208,6 +201,18 @@ def _block_pass(docs: DataFrame, side) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, text string, n_words long, spans array<bigint>, items array<string>")
 
 
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, word starts, word ends, first word of each text and the end)."""
+    data, offsets = utf8(texts)
+    low, starts, ends = words_of(_with_breaks(data, offsets))
+    # text i begins after i inserted breaks
+    return low, starts, ends, np.searchsorted(starts, offsets + np.arange(len(offsets)))
+
+
+def _words_from(low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    return lambda i: low[starts[i] : ends[i]].tobytes()
+
+
 def _with_breaks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The texts with a zero byte after each."""
     out = np.zeros(len(data) + len(offsets) - 1, np.uint8)
@@ -257,6 +262,26 @@ def contamination(
     return found
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, w: int = 6, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all columns, whose text holds no window of an item."""
+    at = docs.columns.index(text_col)
+    for block in item_blocks(items, item_id, item_text, k, w, block_words):
+        docs = docs.mapInArrow(_filter_by(docs.sparkSession.sparkContext.broadcast(block), at), docs.schema)
+    return docs
+
+
+def _filter_by(side, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: TestSide = side.value
+        for batch in sliced(batches, at, CHUNK):
+            low, starts, ends, firsts = _cut(batch.column(at))
+            hashes = word_hashes(low, starts, ends)
+            clean = [not block.spans(hashes[a:b], _words_from(low, starts[a:b], ends[a:b])) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def n_hit(spans: str = "spans"):
     """How many word positions the spans cover."""
     pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda i: F.struct(F.element_at(spans, i + 1).alias("a"), F.element_at(spans, i + 2).alias("b"))))
