@@ -14,7 +14,7 @@ SIGNALS = {"drug_jaccard": 1e-9, "event_jaccard": 1e-9, "age_sim": 0.5, "tempora
 REVIEW_WEIGHTS = {"drug_jaccard": 2.5, "event_jaccard": 2.5, "age_sim": 1.0, "temporal_sim": 1.0, "sex_match": 0.5, "seriousness_match": 0.5}
 THRESHOLDS = {"auto": 0.50, "manual": 0.70}
 #: Names of the fields for people.
-LABELS = {"age_sim": "Age similarity", "sex_match": "Sex match", "seriousness_match": "Seriousness match", "temporal_sim": "Report date proximity", "drug_jaccard": "Drug overlap", "event_jaccard": "Reaction overlap"}
+LABELS = {"drug_jaccard": "Drugs", "event_jaccard": "Reactions", "age_sim": "Age", "temporal_sim": "Report date", "sex_match": "Sex", "seriousness_match": "Seriousness"}
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from caseloom.functions import vocab as V
 
@@ -79,7 +80,7 @@ def nearest(term: str, names: list[str], cutoff: float) -> str | None:
     return best[0] if best and best[0][0] == term[0] and abs(len(best[0]) - len(term)) <= 2 else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _near_drug(terms: pd.Series) -> pd.Series:
     def one(term: str) -> str:
         tries = (nearest(t, V.DRUGS, V.DRUG_CUTOFF) for t in [term, *term.split()])
@@ -88,7 +89,7 @@ def _near_drug(terms: pd.Series) -> pd.Series:
     return terms.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _near_event(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: nearest(t, V.EVENTS, V.EVENT_CUTOFF) or t)
 

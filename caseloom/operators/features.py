@@ -43,38 +43,38 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _weighted_jaccard(column: str) -> Column:
-    mine, others = F.col(f"i.{column}_terms"), F.transform(f"j.{column}_terms", lambda x: x["term"])
+    mine, others = F.col(f"ri.{column}_terms"), F.transform(f"rj.{column}_terms", lambda x: x["term"])
     shared = F.aggregate(F.filter(mine, lambda x: F.array_contains(others, x["term"])), F.lit(0.0), lambda s, x: s + x["weight"])
-    union = F.col(f"i.{column}_total") + F.col(f"j.{column}_total") - shared
+    union = F.col(f"ri.{column}_total") + F.col(f"rj.{column}_total") - shared
     return F.coalesce(F.when(shared > 0, shared / union), F.lit(0.0))
 
 
 def conflict(age_years: float) -> Column:
     """Both ages known and too far apart, or both sexes known and different."""
-    apart = F.abs(F.col("i.age") - F.col("j.age")) > age_years
-    return F.coalesce(apart, F.lit(False)) | F.coalesce(F.col("i.sex") != F.col("j.sex"), F.lit(False))
+    apart = F.abs(F.col("ri.age") - F.col("rj.age")) > age_years
+    return F.coalesce(apart, F.lit(False)) | F.coalesce(F.col("ri.sex") != F.col("rj.sex"), F.lit(False))
 
 
 def gather(pairs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Pairs with both reports' rows as structs i and j."""
+    """Pairs with both reports' rows as structs ri and rj."""
     side = sides(reports)
-    one = side.select(F.col("idx").alias("i_idx"), F.struct(*side.columns).alias("i"))
-    two = side.select(F.col("idx").alias("j_idx"), F.struct(*side.columns).alias("j"))
+    one = side.select(F.col("idx").alias("i_idx"), F.struct(*side.columns).alias("ri"))
+    two = side.select(F.col("idx").alias("j_idx"), F.struct(*side.columns).alias("rj"))
     p = pairs.select(F.col("i").alias("i_idx"), F.col("j").alias("j_idx"))
     return p.join(one, "i_idx").join(two, "j_idx")
 
 
 def compare(pairs: DataFrame, reports: DataFrame, config: Linkage = Linkage()) -> DataFrame:
     """(i, j, report_id_a, report_id_b, the six similarities, conflict) for each pair."""
-    match = lambda c: F.when(F.col(f"i.{c}").isNotNull() & F.col(f"j.{c}").isNotNull(), (F.col(f"i.{c}") == F.col(f"j.{c}")).cast("double"))
+    match = lambda c: F.when(F.col(f"ri.{c}").isNotNull() & F.col(f"rj.{c}").isNotNull(), (F.col(f"ri.{c}") == F.col(f"rj.{c}")).cast("double"))
     near = lambda gap, width: F.greatest(F.lit(0.0), 1.0 - gap / F.lit(float(width)))
-    age = F.when(F.col("i.age").isNotNull() & F.col("j.age").isNotNull(), near(F.abs(F.col("i.age") - F.col("j.age")), config.max_age_diff))
-    values = (age, match("sex"), match("seriousness"), near(F.abs(F.col("i.report_day") - F.col("j.report_day")), float(config.max_day_delta)), _weighted_jaccard("drugs"), _weighted_jaccard("events"))
+    age = F.when(F.col("ri.age").isNotNull() & F.col("rj.age").isNotNull(), near(F.abs(F.col("ri.age") - F.col("rj.age")), config.max_age_diff))
+    values = (age, match("sex"), match("seriousness"), near(F.abs(F.col("ri.report_day") - F.col("rj.report_day")), float(config.max_day_delta)), _weighted_jaccard("drugs"), _weighted_jaccard("events"))
     return gather(pairs, reports).select(
         F.col("i_idx").alias("i"),
         F.col("j_idx").alias("j"),
-        F.col("i.report_id").alias("report_id_a"),
-        F.col("j.report_id").alias("report_id_b"),
+        F.col("ri.report_id").alias("report_id_a"),
+        F.col("rj.report_id").alias("report_id_b"),
         *[single(v).alias(n) for n, v in zip(FIELDS, values)],
         conflict(config.age_conflict_years).alias("conflict"),
     )
