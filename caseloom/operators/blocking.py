@@ -1,8 +1,9 @@
 """Candidate pairs: a union of selective equi-joins with a band on the day.
 
-A posting is (family, a, b, bucket, idx, day).  Sizes of (key, bucket) are
-counted first, pre-aggregated before their shuffle; a block is a bucket that
-has members together with the next bucket, and blocks of more than
+A posting is (family, a, b, bucket, idx, day).  For pairing, its key is two
+64-bit hashes of (family, a, b), which sort and shuffle faster than strings.  A
+block is a bucket that has members together with the next bucket.  Blocks are
+counted first, pre-aggregated before their shuffle, and those of more than
 max_block_size members are left out before any posting is joined.  So hot terms
 never meet in a join, and a block gives at most max_block_size^2 / 2 rows.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from caseloom.config import Linkage
 from caseloom.scratch import save
 
-KEY = ["family", "a", "b"]
+KEY = ["h1", "h2"]
 
 
 def bucket(day: Column, width: int) -> Column:
@@ -40,24 +41,27 @@ def postings(reports: DataFrame, family: str, width: int = 90) -> DataFrame:
 
 
 def all_postings(reports: DataFrame, width: int = 90) -> DataFrame:
+    """(h1, h2, bucket, idx, day): the postings of all families by hashed key."""
     out = postings(reports, "de", width)
     for family in ("ds", "es"):
         out = out.unionByName(postings(reports, family, width))
-    return out
+    return out.select(F.xxhash64("family", "a", "b").alias("h1"), F.xxhash64("b", "family", "a", F.lit(1)).alias("h2"), "bucket", "idx", "day")
+
+
+def _at_bases(posts: DataFrame) -> DataFrame:
+    """Each posting at the two blocks that it can be a member of."""
+    return posts.select(*KEY, F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("base"), "bucket", "idx", "day")
 
 
 def blocks(posts: DataFrame) -> DataFrame:
-    """(family, a, b, base, n): every bucket with members, and the members of it and the next."""
-    own = posts.groupBy(*KEY, "bucket").agg(F.count("*").alias("n"))
-    after = own.select(*KEY, (F.col("bucket") - 1).alias("bucket"), F.col("n").alias("more"))
-    joined = own.join(after, [*KEY, "bucket"], "left")
-    return joined.select(*KEY, F.col("bucket").alias("base"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    """(h1, h2, base, n): every bucket with members, and the number of members of it and the next."""
+    counted = _at_bases(posts).groupBy(*KEY, "base").agg(F.count("*").alias("n"), F.max(F.col("bucket") == F.col("base")).alias("own"))
+    return counted.where("own").select(*KEY, "base", "n")
 
 
 def block_pairs(posts: DataFrame, kept: DataFrame, max_day_delta: int) -> DataFrame:
-    """(family, a, b, base, i, j) of members of the kept blocks within the day band; a pair can come from several blocks."""
-    both = F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))
-    members = posts.select(*KEY, both.alias("base"), "idx", "day").join(kept.select(*KEY, "base"), [*KEY, "base"], "left_semi")
+    """(h1, h2, base, i, j) of members of the kept blocks within the day band; a pair can come from several blocks."""
+    members = _at_bases(posts).select(*KEY, "base", "idx", "day").join(kept.select(*KEY, "base"), [*KEY, "base"], "left_semi")
     left = members.select(*KEY, "base", F.col("idx").alias("i"), F.col("day").alias("day_i"))
     right = members.select(*KEY, "base", F.col("idx").alias("j"), F.col("day").alias("day_j"))
     near = (F.col("i") < F.col("j")) & (F.abs(F.col("day_i") - F.col("day_j")) <= max_day_delta)
@@ -66,7 +70,7 @@ def block_pairs(posts: DataFrame, kept: DataFrame, max_day_delta: int) -> DataFr
 
 def candidate_pairs(reports: DataFrame, config: Linkage = Linkage()) -> DataFrame:
     """(i, j): distinct candidate pairs, without the cap on their number."""
-    posts = all_postings(reports, config.max_day_delta)
+    posts = save(all_postings(reports, config.max_day_delta), "postings")
     kept = blocks(posts).where(F.col("n").between(2, config.max_block_size))
     return block_pairs(posts, kept, config.max_day_delta).select("i", "j").distinct()
 
