@@ -9,7 +9,8 @@ and a uniform u that hashes the id, documents are ranked by
 (u / (1 - u)) / (p / (1 - p)), Pareto's order, and taken from the least on
 while their words stay within what is left.  The gap that the first document
 not taken leaves is filled in FILLS further rounds by the documents next in
-order that are small enough.
+order that are small enough; last, the smallest document not taken is added if
+that brings the words nearer to the target.
 
 No group of rows is sorted in one task: ranks are counted in buckets, about as
 many as the root of the number of rows, pre-aggregated before the shuffle; only
@@ -100,6 +101,14 @@ def _thresholds(rows: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
     return save(found.select("s", F.when(F.col("cut").isNull(), 2.0).otherwise(F.col("v")).alias("upto"), F.when(F.col("cut").isNull(), F.col("all")).otherwise(F.coalesce("used", "before")).alias("used")), "thresholds")
 
 
+def _taken(v: Column, size: Column, p) -> Column:
+    """Whether the thresholds p(q0), p(g1), p(q1), ... take a document."""
+    taken = v < p("q0")
+    for i in range(1, FILLS + 1):
+        taken = taken | ((v >= p(f"q{i - 1}")) & (size <= p(f"g{i}")) & (v < p(f"q{i}")))
+    return taken
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str | None = None, weights: tuple[float, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
     """One row for each source: source, words, target, certain, share, and thresholds q0, q1, ... with size limits g1, ..."""
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
@@ -124,7 +133,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         plan = _beside(plan.withColumn(f"g{i}", F.col("gap")), got, how="left").drop("s")
         plan = plan.withColumn(f"q{i}", F.coalesce("upto", F.col(f"q{i - 1}") if i else F.lit(0.0))).withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0))).drop("upto", "used")
         plan = save(plan, "plan")
-    return plan
+    # one more document each, above the gap but nearer to the target than none
+    left = plan.select(F.col("source").alias("s"), "gap", *[c for i in range(FILLS + 1) for c in (f"q{i}", f"g{i}")])
+    spare = _beside(rows.where("size > 0"), left).where(~_taken(F.col("v"), F.col("size"), F.col) & (F.col("size") < 2 * F.col("gap")))
+    lone = spare.groupBy("source", "size", "v").agg(F.count("*").alias("n")).where("n = 1").groupBy("source").agg(F.min(F.struct("size", "v")).alias("one"))
+    lone = save(lone.select(F.col("source").alias("s"), F.col("one.size").alias("last_size"), F.col("one.v").alias("last_v")), "last")
+    return save(_beside(plan, lone, how="left").drop("s"), "plan")
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str | None = None, seed: int = 11) -> DataFrame:
@@ -133,9 +147,7 @@ def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source
     p = lambda c: F.col(names[c])
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     v, size = _rank(_uniform(id_col, seed), p("share"), weight / F.greatest(p("mean"), F.lit(1e-12))), F.col(size_col)
-    taken = v < p("q0")
-    for i in range(1, FILLS + 1):
-        taken = taken | ((v >= p(f"q{i - 1}")) & (size <= p(f"g{i}")) & (v < p(f"q{i}")))
+    taken = _taken(v, size, p) | F.coalesce((size == p("last_size")) & (v == p("last_v")), F.lit(False))
     copies = F.when(size > 0, p("certain") + taken.cast("int")).otherwise(p("certain"))
     side = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
     joined = docs.join(F.broadcast(side) if plan.count() <= BROADCAST_SOURCES else side, _same(F.col(source_col), p("source")))
