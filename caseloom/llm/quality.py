@@ -131,6 +131,9 @@ def fit(x: np.ndarray, label: np.ndarray, cut: float = 0.3, pairs: int = PAIRS,
         grad = np.bincount(place.ravel(), np.repeat(pull, N_FEATURES), len(w)) / pairs - ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w += 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    # a bin that no training row is in gets what its neighbours suggest
+    seen = np.bincount(place.ravel(), minlength=len(w)).reshape(N_FEATURES, width) > 0
+    w = np.stack([np.interp(np.arange(width), np.flatnonzero(full), row[full]) for row, full in zip(w.reshape(N_FEATURES, width), seen)]).ravel()
     ranked = np.sort(w[place].sum(axis=1))
     low = len(bad)
     threshold = float((ranked[low - 1] + ranked[low]) / 2) if low < len(ranked) else float(ranked[-1])
