@@ -44,7 +44,7 @@ def brute(spark, path, rows, benchmark):
     prints = []
     for r in rows:
         hashes = np.array(simhash.shingle_hashes((r[1] or "").encode(), 5), np.uint64)
-        prints.append([sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in simhash._scrambled(hashes, j)) * 2 > len(hashes)) for j in range(4)])
+        prints.append([sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in simhash._scrambled(hashes, j)) * 2 > len(hashes)) for j in range(P.PRINTS)])
     group = list(range(len(rows)))
     changed = True
     while changed:
@@ -83,6 +83,8 @@ def brute(spark, path, rows, benchmark):
                 chosen.add(r)
             else:
                 break
+        spare = sorted((n, v, r) for v, n, r in mine if n and r not in chosen and n < 2 * gap)
+        chosen.update(r for _, _, r in spare[:1])
         for _, _, r in mine:
             taken += [r] * (certain + (r in chosen))
     model, start, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
