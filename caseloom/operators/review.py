@@ -43,6 +43,11 @@ def keep_earliest(detailed: DataFrame) -> DataFrame:
     return duplicates(detailed).select("report_id", (rank == 1).alias("keep"))
 
 
+def keep_all(clusters: DataFrame) -> DataFrame:
+    """(report_id, keep): every report stays."""
+    return clusters.select("report_id", F.lit(True).alias("keep"))
+
+
 def decided(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
     """Clusters with keep; reports without a decision are kept."""
     return clusters.join(decisions.select("report_id", "keep"), "report_id", "left").withColumn("keep", F.coalesce("keep", F.lit(True)))

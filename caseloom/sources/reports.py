@@ -91,6 +91,13 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return unique_ids(parse(read_delimited(spark, path)))
 
 
+def sample_reports(spark: SparkSession, path: str) -> DataFrame | None:
+    """A bundled sample as reports, if the file is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return read_reports(spark, path) if there else None
+
+
 def unique_ids(reports: DataFrame) -> DataFrame:
     """Later rows of a repeated id get "#2", "#3", ... in order of idx; new ids are not checked against given ones."""
     n = F.row_number().over(Window.partitionBy("report_id").orderBy("idx"))

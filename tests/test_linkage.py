@@ -265,6 +265,14 @@ def test_accuracy_floor_on_injected_duplicates(spark):
     assert rated.precision > 0.6 and rated.recall > 0.6
 
 
+def test_accuracy_table(spark, monkeypatch):
+    from caseloom.plans import accuracy
+
+    monkeypatch.setattr(accuracy, "COHORTS", ((120, 0.3),))
+    rows = accuracy.table(spark).collect()
+    assert [(r.scenario, r.mode) for r in rows] == [("synthetic 120, 0.3", "auto"), ("synthetic 120, 0.3", "manual")] and all(r.f1 > 0.85 and r.max_cluster >= 2 for r in rows)
+
+
 def test_metrics(spark):
     rate = lambda rows: tuple(pairwise_metrics(spark.createDataFrame(rows, "cluster_id long, true_cluster_id long")).first())
     p, r, f = rate([(1, 1), (1, 1), (2, 1), (2, 2)])

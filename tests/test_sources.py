@@ -51,6 +51,13 @@ def test_order_over_many_files(spark, tmp_path):
     assert [r.report_id for r in rows] == [f"{i}-{j}" for i in range(4) for j in range(5)] and [r.idx for r in rows] == list(range(20))
 
 
+def test_sample_and_template(spark, tmp_path):
+    assert reports.sample_reports(spark, f"file://{tmp_path}/none.csv") is None
+    (tmp_path / "t.csv").write_text(reports.TEMPLATE)
+    rows = reports.sample_reports(spark, f"file://{tmp_path}/t.csv").orderBy("idx").collect()
+    assert [r.drugs for r in rows] == [["aspirin", "atorvastatin"]] * 2 and rows[1].events == ["headache", "nausea"]
+
+
 def test_columns_are_found_by_exact_name(spark):
     raw = spark.createDataFrame([(0, None, "5")], "idx long, Age string, report_day string")
     row = reports.parse(raw.withColumn("Sex", F.lit(" "))).first()
