@@ -80,3 +80,19 @@ def test_query_contract(spark, tmp_path):
         n, hit, seen = brute(docs[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(seen), hit > 0)
         assert r.items_sha256 == hashlib.sha256(",".join(seen).encode()).hexdigest()
+
+
+def test_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from caseloom.llm.queries import ORACLES, op3_winnowing
+
+    docs, items = corpus(12)
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = con.sql(ORACLES["op3_winnowing"])
+    rows = op3_winnowing(spark, str(tmp_path)).select(found.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall())
