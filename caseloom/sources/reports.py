@@ -99,10 +99,20 @@ def sample_reports(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def unique_ids(reports: DataFrame) -> DataFrame:
-    """Later rows of a repeated id get "#2", "#3", ... in order of idx; new ids are not checked against given ones."""
-    n = F.row_number().over(Window.partitionBy("report_id").orderBy("idx"))
-    marked = reports.withColumn("__n", n)
-    return marked.withColumn("report_id", F.when(F.col("__n") > 1, F.concat_ws("#", "report_id", F.col("__n").cast("string"))).otherwise(F.col("report_id"))).drop("__n")
+    """Later rows of a repeated id get "#2", "#3", ... in order of idx; new ids are not checked against given ones.
+
+    Rows are numbered within ranges of idx and shifted by the counts of the ranges
+    before, so an id that a third of the rows have is not numbered in one task.
+    """
+    ranged = reports.withColumn("__range", F.floor(F.col("idx") / (1 << 20)))
+    counts = ranged.groupBy("report_id", "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("report_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(F.col("report_id").alias("__id"), F.col("__range").alias("__r"), before.alias("__before"))
+    placed = ranged.join(shifts, F.col("report_id").eqNullSafe(F.col("__id")) & (F.col("__range") == F.col("__r")))
+    n = F.col("__before") + F.row_number().over(Window.partitionBy("report_id", "__range").orderBy("idx"))
+    marked = placed.withColumn("__n", n)
+    new = F.when(F.col("__n") > 1, F.concat_ws("#", "report_id", F.col("__n").cast("string"))).otherwise(F.col("report_id"))
+    return marked.withColumn("report_id", new).select(*reports.columns)
 
 
 def file_shape(reports: DataFrame) -> DataFrame:

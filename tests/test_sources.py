@@ -51,6 +51,17 @@ def test_order_over_many_files(spark, tmp_path):
     assert [r.report_id for r in rows] == [f"{i}-{j}" for i in range(4) for j in range(5)] and [r.idx for r in rows] == list(range(20))
 
 
+def test_repeated_ids_over_ranges(spark):
+    step = 1 << 20
+    rows = [(i * step // 2, "A" if i % 3 else "B") for i in range(12)] + [(7, None), (9, None)]
+    got = {r.idx: r.report_id for r in reports.unique_ids(spark.createDataFrame(rows, "idx long, report_id string")).collect()}
+    seen, want = {}, {}
+    for idx, name in sorted(rows):
+        seen[name] = seen.get(name, 0) + 1
+        want[idx] = name if seen[name] == 1 else f"{name}#{seen[name]}" if name else f"{seen[name]}"
+    assert got == want
+
+
 def test_sample_and_template(spark, tmp_path):
     assert reports.sample_reports(spark, f"file://{tmp_path}/none.csv") is None
     (tmp_path / "t.csv").write_text(reports.TEMPLATE)
