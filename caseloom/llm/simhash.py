@@ -184,9 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = links(groups.select(F.col(name).alias("fp")), distance)
         else:
             heads = save(groups.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")), "heads")
-            far = links(heads.select("fp"), distance)
+            far = save(links(heads.select("fp"), distance), "links")
             far = far.join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst").select("a", "b")
-            found = far.unionByName(groups.join(heads, groups[name] == heads["fp"]).select(F.col("node").alias("a"), F.col("head").alias("b"))).where("a <> b").toDF("src", "dst")
+            same = groups.select(F.col(name).alias("fp"), F.col("node").alias("a")).join(heads, "fp").select("a", F.col("head").alias("b"))
+            # written one by one, so that no plan holds the links of all fingerprints
+            found = save(far.unionByName(same).where("a <> b").toDF("src", "dst"), "node_links")
         edges = found if edges is None else edges.unionByName(found)
     parts = connected_components(edges)
     named = groups.join(parts, groups["node"] == parts["node"], "left").select(groups["node"], "least", F.coalesce("component", groups["node"]).alias("part"))
