@@ -44,9 +44,9 @@ ID_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 #: Stands for a null document id in the files.
 NO_ID = -(1 << 63)
 #: Pieces of each of two generations kept with their ids in a worker.
-PIECES = 250_000
+PIECES = 400_000
 #: Bytes of text encoded in one step.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
 
 
 def _store(uri: str):
@@ -78,6 +78,8 @@ class PieceEncoder:
         self.dtype = np.dtype(dtype)
         self.signs = str.maketrans(_byte_signs())
         self.pieces = Kept(PIECES)
+        # packers of the usual numbers of ids
+        self.pack = [struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(12)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -85,9 +87,10 @@ class PieceEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; best for a megabyte or so at a time."""
         cuts = [self.CUT(t.encode()) if self.cuts and self.PLAIN(t) and not any(x in t for x in self.special) else None for t in texts]
-        kept, tokenize, signs, dtype = self.pieces.young, self.model.model.tokenize, self.signs, self.dtype
+        kept, tokenize, signs, pack = self.pieces.young, self.model.model.tokenize, self.signs, self.pack
         for piece in self.pieces.missing(set().union(*(c for c in cuts if c))):
-            kept[piece] = np.array([t.id for t in tokenize(piece.decode("latin-1").translate(signs))], dtype).tobytes()
+            ids = [t.id for t in tokenize(piece.decode("latin-1").translate(signs))]
+            kept[piece] = pack[len(ids)](*ids) if len(ids) < len(pack) else np.array(ids, self.dtype).tobytes()
         known = kept.__getitem__
         out = [self.whole(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cuts)]
         self.pieces.turn()
