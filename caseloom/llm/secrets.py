@@ -41,7 +41,7 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|none|null|nil|true|false|todo|chang
 THRESHOLD = 4.0
 
 _LEX = re.compile(
-    r"""(?P<comment>(?:\#|//|--|;)[^\n]*|/\*.*?\*/)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<sign>:=|=>|==|!=|<=|>=|\+=|[=:+])|(?P<name>[A-Za-z_$][\w$.\-]*)|(?P<value>[^\s"'`=:,;(){}\[\]]+)|(?P<line>\n)|(?P<end>[,(){}\[\]])|(?P<space>[^\S\n]+|.)""",
+    r"""(?P<comment>(?:(?<!\S)\#|//|\A\s*(?:--|;))[^\n]*|/\*.*?\*/)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<sign>:=|=>|==|!=|<=|>=|\+=|[=:+])|(?P<name>[A-Za-z_$][\w$.\-]*)|(?P<value>[^\s"'`=:,;(){}\[\]]+)|(?P<line>\n)|(?P<end>[,(){}\[\]])|(?P<space>[^\S\n]+|.)""",
     re.ASCII | re.DOTALL,
 )
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")

@@ -21,6 +21,8 @@ def kinds(text):
         ('String privateKey = "Q9zKf83hdLLa02";', "Q9zKf83hdLLa02"),
         ('login(user="bob", passphrase="T0p-Secr3t-Pa55")', "T0p-Secr3t-Pa55"),
         ('K1 = "Zx81kdlPQ0x7aa"\nother = K1\nconfig.api_key = other\n', "Zx81kdlPQ0x7aa"),
+        ('var a = 1; var authToken = "Zx81kdlPQ0x7aa";', "Zx81kdlPQ0x7aa"),
+        ('color = "#fff"; secret_key = "Zx81kdlPQ0x7aa"  # note', "Zx81kdlPQ0x7aa"),
         ('token: str = "Zx81kdlPQ0x7aa"', "Zx81kdlPQ0x7aa"),
     ],
 )
@@ -28,7 +30,7 @@ def test_literals_of_sensitive_names(text, literal):
     assert ("literal", literal) in kinds(text)
 
 
-@pytest.mark.parametrize("text", ['title = "A long heading 123"', 'password = "changeme"', "token_count = 128000", 'secret_path = "/etc/app"', "Note: the word password: is here", 'x = "Zx81kdlPQ0x7aa"', "# password = 'abcdefgh12345'", "secret = None", "a : b : c = d + e"])
+@pytest.mark.parametrize("text", ['title = "A long heading 123"', 'password = "changeme"', "token_count = 128000", 'secret_path = "/etc/app"', "Note: the word password: is here", 'x = "Zx81kdlPQ0x7aa"', "# password = 'abcdefgh12345'", "secret = None", "a : b : c = d + e", '; password = "Zx81kdlPQ0x7aa"', '  -- secret = "Zx81kdlPQ0x7aa"'])
 def test_others_are_left(text):
     assert "literal" not in dict(kinds(text))
 
