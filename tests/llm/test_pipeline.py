@@ -133,3 +133,18 @@ def test_more_fingerprints_link_more_and_only_near_texts(spark):
         found.append(sum(r.component != r.id for r in parts))
     assert found[1] > found[0] and found[1] >= 30
     assert all(0 <= unsigned(r.fp) < 1 << 64 for r in parts)
+
+
+def test_fingerprints_of_the_stage_find_most_very_near_pairs():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    found = 0
+    for i in range(400):  # similarity 0.96
+        base = [rng.choice(words) for _ in range(250)]
+        near = list(base)
+        near[rng.randrange(5, 245)] = "changed"
+        hashes = [np.array(simhash.shingle_hashes(" ".join(x).encode(), P.SHINGLE), np.uint64) for x in (base, near)]
+        bounds = np.array([0, len(hashes[0]), len(hashes[0]) + len(hashes[1])])
+        marks = [simhash.majority(simhash._scrambled(np.concatenate(hashes), j), bounds).tolist() for j in range(P.PRINTS)]
+        found += any((a ^ b).bit_count() <= P.DISTANCE for a, b in marks)
+    assert found >= 300
