@@ -42,6 +42,8 @@ from caseloom.scratch import save
 SEED = 42
 #: Distinct fingerprints under one key beyond which pairs are not joined directly.
 CROWD = 24
+#: Rows of a group that are settled in one round.
+AT_ONCE = 64
 #: Hashes whose bits are unpacked at once.
 ROWS = 1 << 15
 
@@ -167,10 +169,10 @@ def _through_midpoints(prints: DataFrame, distance: int) -> DataFrame:
     return near.select(F.col("all")[0].alias("src"), F.explode(F.slice("all", 2, 65)).alias("dst")) if distance == 2 else near.select(F.explode("all").alias("src"), F.col("mid").alias("dst")).where("src <> dst")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, prints: int = 1) -> DataFrame:
-    """(id, fp, component): component is the least id reachable over links of at most `distance` bits.
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, prints: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, fp0, ..., node) for each row, and (node, least, part) for each distinct node, least being its least id.
 
-    fp is the first fingerprint.
+    Nodes of one part are connected over links of at most `distance` bits.
     """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
@@ -191,7 +193,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = save(far.unionByName(same).where("a <> b").toDF("src", "dst"), "node_links")
         edges = found if edges is None else edges.unionByName(found)
     parts = connected_components(edges)
-    named = groups.join(parts, groups["node"] == parts["node"], "left").select(groups["node"], "least", F.coalesce("component", groups["node"]).alias("part"))
+    return marks, groups.join(parts, groups["node"] == parts["node"], "left").select(groups["node"], "least", F.coalesce("component", groups["node"]).alias("part"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, prints: int = 1) -> DataFrame:
+    """(id, fp, component): component is the least id reachable over links of at most `distance` bits.
+
+    fp is the first fingerprint.
+    """
+    marks, named = linked(docs, id_col, text_col, shingle, distance, prints)
     heads = named.groupBy("part").agg(F.min("least").alias("component"))
     classes = named.join(heads, "part").select("node", "component")
     return marks.join(classes, "node").select("id", F.col("fp0").alias("fp"), "component")
+
+
+def _similar(a: set[int], b: set[int], least: float) -> bool:
+    """Whether the Jaccard index of two sets is `least` or more; two empty sets are equal."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both)
+
+
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(part, key, shingles) of rows (part, key, text): the sorted distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64)).view(np.int64) for t in some.column(2)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["part", "key", "shingles"])
+
+    return rows.select("part", "key", "text").mapInArrow(run, f"part long, key {rows.schema['key'].dataType.simpleString()}, shingles array<long>")
+
+
+def _first_come(rows: DataFrame, least: float) -> DataFrame:
+    """(part, key, shingles) of the rows of each part that are not similar to an earlier one that stays."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        keys, sets = table.column("key").to_pylist(), [set(x) for x in table.column("shingles").to_pylist()]
+        stay: list[int] = []
+        for i in sorted(range(len(keys)), key=lambda i: tuple(keys[i].values())):
+            if not any(_similar(sets[i], sets[j], least) for j in stay):
+                stay.append(i)
+        return table.take(stay)
+
+    return rows.groupBy("part").applyInArrow(choose, rows.schema)
+
+
+def dissimilar(sets: DataFrame, least: float, at_once: int = AT_ONCE) -> DataFrame:
+    """(part, key) of the rows that stay so that each other row has Jaccard `least` or more with a stayer of its part, and no two stayers have.
+
+    sets: (part, key, shingles), key a struct without nulls that is unique in its
+    part.  Parts of at most `at_once` rows are settled in order of their keys.
+    In a larger one, each round settles the least key of each of `at_once`
+    shares of the rows, the least of all among them, and compares all others
+    with those of them that stay; so no pairs of a large group are made.
+    """
+    left, stayed = sets, None
+    while not left.isEmpty():
+        large = left.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("part")
+        share = F.pmod(F.xxhash64("key"), F.lit(at_once))
+        chosen = left.join(large, "part", "left_semi").groupBy("part", share.alias("share")).agg(F.min("key").alias("key")).select("part", "key")
+        chosen = save(chosen, "chosen")
+        now = left.join(large, "part", "left_anti").unionByName(left.join(chosen, ["part", "key"], "left_semi"))
+        stay = save(_first_come(now, least), "stay")
+        found = stay.select("part", "key")
+        stayed = found if stayed is None else stayed.unionByName(found)
+        if chosen.isEmpty():
+            break
+        rest = save(left.join(large, "part", "left_semi").join(chosen, ["part", "key"], "left_anti"), "rest")
+        both = F.size(F.array_intersect("shingles", "others"))
+        near = both >= least * (F.size("shingles") + F.size("others") - both)
+        pairs = rest.join(stay.select("part", F.col("shingles").alias("others")), "part").where(F.least(F.size("shingles"), F.size("others")) >= least * F.greatest(F.size("shingles"), F.size("others")))
+        gone = save(pairs.where(near).select("part", "key").distinct(), "gone")
+        left = save(rest.join(gone, ["part", "key"], "left_anti"), "left")
+    return sets.select("part", "key").limit(0) if stayed is None else stayed

@@ -148,3 +148,45 @@ def test_fingerprints_of_the_stage_find_most_very_near_pairs():
         marks = [simhash.majority(simhash._scrambled(np.concatenate(hashes), j), bounds).tolist() for j in range(P.PRINTS)]
         found += any((a ^ b).bit_count() <= P.DISTANCE for a, b in marks)
     assert found >= 300
+
+
+def test_near_dedup_drops_only_verified_copies(spark, tmp_path):
+    rng = random.Random(9)
+    line = "the same line of the page again and again "
+    texts = [line * 60 + " ".join(f"own{i}x{j}" for j in range(12)) for i in range(3)]  # one repeated line, other text
+    base = [f"b{i}" for i in range(300)]
+    texts += [" ".join(base), " ".join(base), " ".join([*base[:200], "changed", *base[201:]])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    parts = {r.id: r.component for r in simhash.near_duplicates(docs, shingle=P.SHINGLE, prints=P.PRINTS).collect()}
+    assert parts[0] == parts[1] == parts[2]
+    got = sorted(r.doc_id for r in P.near_dedup(spark, docs, str(tmp_path)).collect())
+    assert got[:4] == [0, 1, 2, 3] and 4 not in got
+
+
+def test_large_groups_are_settled_without_loss(spark):
+    rng = random.Random(10)
+    rows = []
+    for c in range(5):  # five centres in one part
+        base = rng.sample(range(1 << 40), 100)
+        for i in range(60):
+            rows.append((1, (rng.randrange(1 << 30), c * 100 + i), sorted([*base[: 100 - i % 4], *rng.sample(range(1 << 41, 1 << 42), i % 4)])))
+    rows += [(2, (i, i), [1, 2, 3, 4 + i // 2]) for i in range(6)]
+    sets = spark.createDataFrame(rows, "part long, key struct<doc_id:long,row:long>, shingles array<long>")
+    for at_once in (8, 64, 1000):
+        stay = {(r.part, tuple(r.key)) for r in simhash.dissimilar(sets, 0.8, at_once).collect()}
+        by = {(p, k): set(s) for p, k, s in rows}
+        jaccard = lambda a, b: len(by[a] & by[b]) / len(by[a] | by[b])
+        assert len(stay) == 5 + 3 and min(k for p, k, _ in rows if p == 1) in {k for _, k in stay}
+        assert all(r in stay or any(r[0] == s[0] and jaccard(r, s) >= 0.8 for s in stay) for r in by)
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark, tmp_path):
+    one, two = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 2), (2, two, "en", "s", 3), (1, one, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in P.near_dedup(spark, docs, str(tmp_path)).collect())
+    assert got == [(1, one), (1, two)]
+    copies = spark.createDataFrame([(1, one, "en", "s", 1), (3, two, "en", "s", 2), (3, one, "en", "s", 3)], docs.schema)
+    got = sorted((r.doc_id, r.text) for r in P.near_dedup(spark, copies, str(tmp_path)).collect())
+    assert got == [(1, one), (3, two)]
