@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
-Three patterns give the base spans.  Besides, the lines of a text that hold an
-assignment sign are lexed as source or configuration: comments, strings, names,
-values and signs.  That gives pairs of a target name and an expression of
+Three patterns give the base spans.  Besides, a text that holds an assignment
+sign is lexed as source or configuration: comments, strings, names, values,
+signs and lines.  That gives pairs of a target name and an expression of
 literals and names, in the forms of `name = "literal"`, `name: value`,
 `"name": "value"`, `name="value"` in a call, `name := value`, `name => value`
 and `export NAME=value`.  Names that were given one literal are constants: where
@@ -41,9 +41,11 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|none|null|nil|true|false|todo|chang
 THRESHOLD = 4.0
 
 _LEX = re.compile(
-    r"""(?P<comment>(?:(?<!\S)\#|//|\A\s*(?:--|;))[^\n]*|/\*.*?\*/)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<sign>:=|=>|==|!=|<=|>=|\+=|[=:+])|(?P<name>[A-Za-z_$][\w$.\-]*)|(?P<value>[^\s"'`=:,;(){}\[\]]+)|(?P<line>\n)|(?P<end>[,(){}\[\]])|(?P<space>[^\S\n]+|.)""",
-    re.ASCII | re.DOTALL,
+    r"""(?P<comment>(?:(?<!\S)\#|(?<![\w+/=:])//|^[^\S\n]*(?:--|;))[^\n]*)|(?P<open>(?<![\w/*.])/\*|\"{3}|'{3})|(?P<string>(?:(?<![\w$])[bBrRuUfF]{1,2})?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`\n]*`)|(?P<sign>:=|=>|==|!=|<=|>=|\+=|[=:+])|(?P<name>[A-Za-z_$][\w$.\-]*)|(?P<value>[^\s"'`=:,;(){}\[\]]+)|(?P<line>\n)|(?P<end>[,(){}\[\]])|(?P<space>[^\S\n]+|.)""",
+    re.ASCII | re.DOTALL | re.MULTILINE,
 )
+#: An unquoted value: up to white space, comma, semicolon, bracket or quote.
+_RAW = re.compile(r"""[^\s,;(){}\[\]"'`]+""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LIKELY = re.compile(r"[=:]")
 
@@ -72,37 +74,109 @@ def base_spans(text: str) -> list[Span]:
     return out + [Span("hex", m.start(), m.end(), 0.0) for m in HEX.finditer(text)]
 
 
+def _tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, word, start, end) of all but spaces and comments; comments and strings may span lines, openings without an end are left out."""
+    at, lost = 0, set()
+    while True:
+        for m in _LEX.finditer(text, at):
+            kind = m.lastgroup
+            if kind == "open":
+                end = "*/" if m[0] == "/*" else m[0]
+                stop = -1 if end in lost else text.find(end, m.end())
+                if stop < 0:
+                    lost.add(end)
+                    continue
+                at = stop + len(end)
+                if end != "*/":
+                    yield "string", text[m.start() : at], m.start(), at
+                break
+            if kind not in ("space", "comment"):
+                yield kind, m[0], m.start(), m.end()
+        else:
+            return
+
+
+def _literal(word: str, start: int) -> Literal:
+    """The inside of a string, without its prefix."""
+    first = min(i for i in map(word.find, "\"'`") if i >= 0)
+    marks = 3 if len(word) - first >= 6 and word[first : first + 3] in ('"' * 3, "'" * 3) else 1
+    return Literal(word[first + marks : -marks], start + first + marks, start + len(word) - marks)
+
+
+def _raw(text: str, start: int, end: int) -> Literal | None:
+    """The unquoted value at a token, where it goes on after the token and can't be an expression of names."""
+    m = _RAW.match(text, start)
+    if m is None or m.end() <= end or text[m.end() : m.end() + 1] in tuple("\"'`({["):
+        return None
+    word = m[0]
+    if "=" in word.rstrip("=") or word[-1] in ":+" or all(map(_identifier, word.split("+"))):
+        return None
+    return Literal(word, start, m.end())
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[Literal | str]]]:
-    """(target name, expression) of each assignment; an expression is of literals and names joined by +."""
-    for first, line in _lines(text):
-        tokens = [(m.lastgroup, m[0], first + m.start(), first + m.end()) for m in _LEX.finditer(line) if m.lastgroup not in ("space", "comment")]
-        i = 0
-        while i < len(tokens):
-            kind, word, *_ = tokens[i]
-            if kind not in ("name", "string") or i + 1 >= len(tokens) or tokens[i + 1][0] != "sign" or tokens[i + 1][1] not in ("=", ":", ":=", "=>"):
-                i += 1
-                continue
-            target = word[1:-1] if kind == "string" else word
-            if tokens[i + 1][1] == ":" and i + 3 < len(tokens) and tokens[i + 2][0] == "name" and tokens[i + 3][1] == "=":
-                i += 2  # a type stands between the name and its value
-            i += 2
-            terms: list[Literal | str] = []
-            while i < len(tokens):
-                kind, word, a, b = tokens[i]
-                if kind == "string":
-                    terms.append(Literal(word[1:-1], a + 1, b - 1))
-                elif kind == "name" and (i + 1 >= len(tokens) or tokens[i + 1][0] != "end" or tokens[i + 1][1] in ",)}]"):
-                    terms.append(Literal(word, a, b) if not _identifier(word) else word)
-                elif kind == "value":
-                    terms.append(Literal(word, a, b))
-                else:
-                    break
-                i += 1
-                if i >= len(tokens) or tokens[i][1] != "+":
-                    break
-                i += 1
-            if terms:
-                yield target, terms
+    """(target name, expression) of each assignment; an expression is of literals and names joined by +.
+
+    It goes on in the next line after a sign, a backslash, a block mark of YAML
+    or within a bracket that begins it.
+    """
+    tokens = list(_tokens(text))
+    n, i = len(tokens), 0
+
+    def kind_at(j: int) -> str:
+        return tokens[j][0] if j < n else "line"
+
+    def skip(j: int) -> int:
+        while j < n and tokens[j][0] == "line":
+            j += 1
+        return j
+
+    while i < n:
+        kind, word, start, _ = tokens[i]
+        if kind not in ("name", "string") or kind_at(i + 1) != "sign" or tokens[i + 1][1] not in ("=", ":", ":=", "=>"):
+            i += 1
+            continue
+        target = _literal(word, start).text if kind == "string" else word
+        if tokens[i + 1][1] == ":" and i + 3 < n and tokens[i + 2][0] == "name" and tokens[i + 3][1] == "=":
+            i += 2  # a type stands between the name and its value
+        i += 2
+        depth = 0
+        while i < n and (tokens[i][1] in ("(", "\\", "|", "|-", "|+", ">", ">-", ">+") or tokens[i][0] == "line"):
+            if tokens[i][1] == "(":
+                depth += 1
+            elif tokens[i][0] != "line" and kind_at(i + 1) != "line":
+                break
+            i += 1
+        terms: list[Literal | str] = []
+        while i < n:
+            kind, word, a, b = tokens[i]
+            if kind in ("name", "string") and i + 1 < n and tokens[i + 1][1] in ("=", ":", ":=", "=>") and tokens[i - 1][0] == "line":
+                break  # the next target
+            raw = _raw(text, a, b) if kind in ("name", "value") else None
+            if raw:
+                terms.append(raw)
+                while i + 1 < n and tokens[i + 1][2] < raw.end:
+                    i += 1
+            elif kind == "string":
+                terms.append(_literal(word, a))
+            elif kind == "name" and (kind_at(i + 1) != "end" or tokens[i + 1][1] in ",)}]"):
+                terms.append(Literal(word, a, b) if not _identifier(word) else word)
+            elif kind == "value":
+                terms.append(Literal(word, a, b))
+            else:
+                break
+            i += 1
+            on = skip(i) if depth else i
+            if on < n and tokens[on][1] == "\\" and kind_at(on + 1) == "line":
+                on = skip(on + 1)
+            if on < n and tokens[on][1] == "+":
+                i = skip(on + 1)
+            elif on < n and tokens[on][0] == "string" and (depth or on > i):
+                i = on
+            else:
+                break
+        if terms:
+            yield target, terms
 
 
 def _identifier(word: str) -> bool:
@@ -110,17 +184,6 @@ def _identifier(word: str) -> bool:
     return bool(re.fullmatch(r"[A-Za-z_$][A-Za-z_$.]*[0-9]{0,2}", word)) and len(word) <= 40
 
 
-def _lines(text: str) -> Iterator[tuple[int, str]]:
-    """(start, line) of the lines that hold an assignment sign; each sign's neighbourhood is what counts in very long lines."""
-    at = 0
-    while (m := _LIKELY.search(text, at)) is not None:
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.start())
-        b = len(text) if b < 0 else b
-        yield a, text[a:b]
-        at = b + 1
-
-
 def sensitivity(name: str) -> float:
     """How telling a target's name is."""
     parts = [p.lower() for p in _PARTS.findall(name)]

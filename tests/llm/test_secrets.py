@@ -59,3 +59,38 @@ def test_base_spans_and_contract(spark, tmp_path):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, *_ in base) for x in ("assign", "access", "hex")]
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
     assert secrets.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, literal",
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzz"),
+        ("signing_key: abc123DEF/ghi+jkl//mnoPQ==\n", "abc123DEF/ghi+jkl//mnoPQ=="),
+        ('private_key = b"Zx81kdlPQ0x7aa"', "Zx81kdlPQ0x7aa"),
+        ("private_key = rb'Zx81kdlPQ0x7aa'", "Zx81kdlPQ0x7aa"),
+    ],
+)
+def test_unquoted_values_and_prefixed_strings_are_whole(text, literal):
+    assert [x for k, x in kinds(text) if k == "literal"] == [literal]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'private_key = (\n    "Zx81kdlPQ0x7aa"\n)',
+        'private_key = \\\n    "Zx81kdlPQ0x7aa"',
+        '{"privateKey":\n  "Zx81kdlPQ0x7aa"}',
+        "private_key: |\n  Zx81kdlPQ0x7aa\n",
+        'login(\n  passphrase=\n    "Zx81kdlPQ0x7aa",\n)',
+        'private_key = "a" + \n  "Zx81kdlPQ0x7aa"',
+    ],
+)
+def test_values_on_further_lines(text):
+    assert ("literal", "Zx81kdlPQ0x7aa") in kinds(text)
+
+
+def test_comments_and_strings_over_lines_hold_no_assignments():
+    assert "literal" not in dict(kinds('/* old:\n passphrase = "Zx81kdlPQ0x7aa"\n*/ a = 1'))
+    assert "literal" not in dict(kinds('doc = """\npassphrase = Zx81kdlPQ0x7aa\n"""'))
+    assert ("literal", "Zx81kdlPQ0x7aa") in kinds('ls src /*\npassphrase = "Zx81kdlPQ0x7aa"')
+    assert "literal" not in dict(kinds("auth:\n  link: Zx81kdlPQ0x7aa\n"))
