@@ -6,15 +6,15 @@ class and id) from the root to it.  For each path the text length and the
 punctuation of all its blocks are added up and divided by their number.  Both
 ratios are smoothed over similar paths (a Gaussian of the edit distance between
 paths), fused by their product, and paths above a share of the scores' standard
-deviation are content; headings go with the content of their container.  Paths
+deviation are content; headings, and lists, tables and the like whatever their
+score, go with the content of their container, as does all else in an article.  Paths
 through elements that by name, class, id or role are menus, page headers,
 footers, sidebars, notices, adverts, forms or comments have no score.
 
 Cases: a null, empty or text-free page gives an empty text; a page without
 tags is one block; unclosed comments, tags and scripts run to the end; very
-long pages are read in linear time, and the quadratic smoothing is over the
-distinct paths of a page, of which those beyond PATHS in order of text are left
-unsmoothed; repeated rows each give theirs; empty tables give empty results;
+long or deep pages are read in linear time, and all paths are smoothed over
+those within NEAR edits by sums at shared ancestors; repeated rows each give theirs; empty tables give empty results;
 other columns are ignored.
 """
 
@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 
 #: Width of the smoothing, in edits of a path, and the share of the standard deviation that content exceeds.
 SIGMA, LAMBDA = 0.8, 0.25
-#: Paths of a page that are smoothed against each other.
-PATHS = 200
-#: Steps of a path; what is nested deeper has the path of its ancestor there.
-DEPTH = 64
+#: Edits beyond which a weight (under 1e-16) counts as nothing.
+NEAR = 7
 
 #: Elements by their role in HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp svg math object select button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that belong to what holds them.
+PARTS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre p figure figcaption".split())
 NOT_CONTENT = frozenset("nav footer aside form head menu dialog".split())
 #: Elements that a start tag of the first closes, up to the second.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -104,11 +104,29 @@ class Node:
 
     __slots__ = ("name", "path", "block", "content", "article")
 
-    def __init__(self, name: str, path: tuple[str, ...], block: str, content: bool, article: bool):
+    def __init__(self, name: str, path: int, block: str, content: bool, article: bool):
         self.name, self.path, self.block, self.content, self.article = name, path, block, content, article
 
 
-def _opened(name: str, attributes: str, parent: Node) -> Node:
+class Paths:
+    """The distinct paths of a page by number; a parent's number is less than its child's, the empty path is 0."""
+
+    def __init__(self) -> None:
+        self.parent, self.name, self.depth, self.article = [0], [""], [0], [False]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def step(self, parent: int, name: str, marks: list[str], article: bool) -> int:
+        key = (parent, ".".join([name, *marks]))
+        if key not in self._known:
+            self._known[key] = len(self.parent)
+            self.parent.append(parent)
+            self.name.append(name)
+            self.depth.append(self.depth[parent] + 1)
+            self.article.append(article)
+        return self._known[key]
+
+
+def _opened(name: str, attributes: str, parent: Node, paths: Paths) -> Node:
     marks, parts = [], set()
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         value = m[2] or m[3] or m[4] or ""
@@ -122,13 +140,14 @@ def _opened(name: str, attributes: str, parent: Node) -> Node:
         content = False
     if name not in BLOCKS:
         return Node(name, parent.path, parent.block, content, article)
-    path = (*parent.path, ".".join([name, *marks])) if len(parent.path) < DEPTH else parent.path
-    return Node(name, path, name, content, article)
+    return Node(name, paths.step(parent.path, name, marks, article), name, content, article)
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, str]]:
-    """(path, can be content, element, text) of each block with text, in page order."""
-    stack = [Node("", (), "", True, False)]
+def blocks(html: str) -> tuple[Paths, list[tuple[int, bool, str, str]]]:
+    """The page's paths, and (path, can be content, element, text) of each block with text, in page order."""
+    paths = Paths()
+    stack = [Node("", 0, "", True, False)]
+    places: dict[str, list[int]] = {}  # of the open elements of a name in the stack
     held: list[str] = []
     out = []
 
@@ -139,11 +158,22 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, str]]:
                 out.append((stack[-1].path, stack[-1].content, stack[-1].block, text))
             held.clear()
 
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def pop_to(index: int) -> None:
         if any(n.name in BLOCKS for n in stack[index:]):
             close_block()
+        for n in stack[index:]:
+            places[n.name].pop()
         del stack[index:]
 
+    def close(names: str, until: str) -> None:
+        """Closes the innermost open element among names, unless one among until is nearer."""
+        at = last(names.split())
+        if at and at >= last(until.split()):
+            pop_to(at)
+
     for kind, name, attributes in events(html):
         if kind == "text":
             held.append(name)
@@ -151,12 +181,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, str]]:
             if name == "br":
                 held.append(" ")
                 continue
-            for i in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                if stack[i].name == name:
-                    pop_to(i)
-                    break
-                if stack[i].name in ("table", "article", "main", "body") and name not in BLOCKS:
-                    break
+            at = last((name,))
+            if at and (name in BLOCKS or at > last(("table", "article", "main", "body"))):
+                pop_to(at)
         elif name in EMPTY:
             if name == "hr":
                 close_block()
@@ -165,38 +192,47 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], bool, str, str]]:
         else:
             if name in BLOCKS:
                 if name in CLOSES:
-                    _close(stack, *CLOSES[name], pop_to)
-                _close(stack, "p", "article main section div td th li body table blockquote", pop_to)
+                    close(*CLOSES[name])
+                close("p", "article main section div td th li body table blockquote")
                 close_block()
-            stack.append(_opened(name, attributes, stack[-1]))
+            places.setdefault(name, []).append(len(stack))
+            stack.append(_opened(name, attributes, stack[-1], paths))
     close_block()
+    return paths, out
+
+
+def _smoothed(paths: Paths, ratio: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
+    """The ratios, averaged over all paths by distance: the edits from the first step in which two paths differ."""
+    sums: dict[tuple[int, int], list[float]] = {}  # by ancestor and depth: number, both ratios
+    for p, (length, marks) in ratio.items():
+        at, depth = p, paths.depth[p]
+        for _ in range(min(NEAR, depth) + 1):
+            s = sums.setdefault((at, depth), [0.0, 0.0, 0.0])
+            s[0] += 1
+            s[1] += length
+            s[2] += marks
+            at = paths.parent[at]
+    weights = [math.exp(-((d / SIGMA) ** 2) / 2) for d in range(NEAR + 1)]
+    none = (0.0, 0.0, 0.0)
+    out = {}
+    for p in ratio:
+        at, under, depth = p, -1, paths.depth[p]
+        total = [0.0, 0.0, 0.0]
+        for shared in range(depth, max(0, depth - NEAR) - 1, -1):
+            for other in range(shared, shared + NEAR + 1):
+                if found := sums.get((at, other)):
+                    inner = sums.get((under, other), none)
+                    w = weights[max(depth, other) - shared]
+                    for j in range(3):
+                        total[j] += w * (found[j] - inner[j])
+            at, under = paths.parent[at], at
+        out[p] = (total[1] / total[0], total[2] / total[0])
     return out
 
 
-def _close(stack: list[Node], names: str, until: str, pop_to) -> None:
-    """Closes the innermost open element among names, unless one among until is nearer."""
-    wanted, stops = names.split(), until.split()
-    for i in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-        if stack[i].name in wanted:
-            pop_to(i)
-            return
-        if stack[i].name in stops:
-            return
-
-
-def _distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Edits between two paths, from the first step in which they differ."""
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return max(len(a), len(b)) - shared
-
-
-def content_paths(found: list[tuple[tuple[str, ...], bool, str, str]]) -> set[tuple[str, ...]]:
+def content_paths(paths: Paths, found: list[tuple[int, bool, str, str]]) -> set[int]:
     """The paths whose blocks are content."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, content, _, text in found:
         if content:
             s = sums.setdefault(path, [0.0, 0.0, 0.0])
@@ -205,27 +241,24 @@ def content_paths(found: list[tuple[tuple[str, ...], bool, str, str]]) -> set[tu
             s[2] += 1
     if not sums:
         return set()
-    paths = sorted(sums, key=lambda p: (-sums[p][0], p))
-    ratio = {p: (sums[p][0] / sums[p][2], (1 + sums[p][1]) / sums[p][2]) for p in paths}
-    score = {}
-    for i, p in enumerate(paths):
-        near = paths[:PATHS] if i < PATHS else [p]
-        weights = [math.exp(-((_distance(p, q) / SIGMA) ** 2) / 2) for q in near]
-        total = sum(weights)
-        length, marks = (sum(w * ratio[q][j] for w, q in zip(weights, near)) / total for j in (0, 1))
-        score[p] = math.log1p(length) * math.log1p(marks)
+    ratio = {p: (s[0] / s[2], (1 + s[1]) / s[2]) for p, s in sums.items()}
+    score = {p: math.log1p(length) * math.log1p(marks) for p, (length, marks) in _smoothed(paths, ratio).items()}
     mean = sum(score.values()) / len(score)
     spread = math.sqrt(sum((s - mean) ** 2 for s in score.values()) / len(score))
     least = min(LAMBDA * spread, max(score.values()))
-    kept = {p for p in paths if score[p] >= least and score[p] > 0}
-    inside = {p[:-1] for p in kept}
-    return kept | {p for p in paths if p and p[-1].split(".")[0] in HEADINGS and p[:-1] in inside}
+    kept = {p for p in score if score[p] >= least and score[p] > 0}
+    inside = {paths.parent[p] for p in kept}
+    part = [False] * len(paths.parent)  # whether a path goes with a container of content
+    for p in range(1, len(part)):
+        up, name = paths.parent[p], paths.name[p]
+        part[p] = (up in inside or part[up]) and (name in PARTS or paths.article[up]) or name in HEADINGS and up in inside
+    return kept | {p for p in score if part[p]}
 
 
 def main_text(html: str) -> str:
     """The page's content blocks, joined by empty lines."""
-    found = blocks(html)
-    kept = content_paths(found)
+    paths, found = blocks(html)
+    kept = content_paths(paths, found)
     return "\n\n".join(text for path, content, _, text in found if content and path in kept)
 
 

@@ -61,3 +61,26 @@ def test_contract(spark, tmp_path):
     got = sorted((tuple(r) for r in op1_tag_paths(spark, str(tmp_path)).collect()), key=str)
     assert got == [(1, "u1", TEXT, len(TEXT)), (1, "u1", TEXT, len(TEXT)), (2, None, "", 0), (3, "u3", "", 0)]
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_short_items_of_an_article_stay():
+    story = "".join(f"<p>Paragraph {i}, {'long words ' * 17}, and so on, to its end.</p>" for i in range(5))
+    for n in (5, 10, 30):
+        ul = "<ul>" + "".join(f"<li>item{i:02}</li>" for i in range(n)) + "</ul>"
+        table = "<table><tr>" + "".join(f"<td>cell{i:02}</td>" for i in range(n)) + "</tr></table>"
+        for hold in ("article", "div"):
+            got = pages.main_text(f"<html><body><{hold}>{story}{ul}{table}</{hold}></body></html>")
+            assert all(f"item{i:02}" in got and f"cell{i:02}" in got for i in range(n))
+
+
+def test_many_open_elements_and_paths_lose_nothing():
+    story = "".join(f"<p>Paragraph {i}, long enough, with commas, and an end.</p>" for i in range(3))
+    for end in ("nav", "div class=menu"):
+        got = pages.main_text(f"<body><{end}>{'<font>x' * 300}</{end.split()[0]}><article>{story}</article></body>")
+        assert "Paragraph 0" in got and "Paragraph 2" in got and "xx" not in got
+    many = "".join(f"<div id=k{chr(97 + i % 26)}{chr(97 + i // 26)}>short{i}</div>" for i in range(500))
+    paths, found = pages.blocks(f"<body><div>{many}</div></body>")
+    kept = pages.content_paths(paths, found)
+    assert len({path in kept for path, *_ in found}) == 1
+    deep, found = pages.blocks("<div>" * 70 + "a<div>b")
+    assert len({path for path, *_ in found}) == 2
