@@ -8,23 +8,29 @@ it has a one-bit-wildcard variant in common: each distinct fingerprint is
 indexed under every (segment, wildcard position, remaining bits), equal keys
 are joined, and candidates are verified by counting differing bits.
 
-A crowded key (a group of near copies has thousands of fingerprints around one
-centre) would give all pairs of its members.  Its fingerprints go another exact
-way that needs no pairs, for d = 2: each emits itself and its 64 one-bit
-neighbours as midpoints.  Fingerprints within 2 bits share a midpoint, and
-those that share one are within 2 bits, so linking every member of a midpoint
-to its least member loses no connection; a midpoint has at most 65 members.
+A key of three or more (a group of near copies has thousands of fingerprints
+around one centre) would give all pairs of its members.  Its fingerprints go
+another exact way that needs no pairs, for d = 2: each emits itself and its 64
+one-bit neighbours as midpoints.  Fingerprints within 2 bits share a midpoint,
+and those that share one are within 2 bits, so linking every member of a
+midpoint to its least member loses no connection; a midpoint has at most 65
+members.
 
 With more than one fingerprint for each text (`prints`), each of further
 scrambles of the same shingle hashes, texts are linked if any of their
-fingerprints are within d bits.  At distance 2 one fingerprint finds a pair of
-similarity 0.95 and more two times in ten, six find it three times in four;
-unrelated texts stay apart.
+fingerprints are within d bits.
+
+For a similarity instead of a number of bits, `representatives` takes the same
+one-wildcard variants of all segments of several fingerprints to propose pairs,
+counts the differing bits of all fingerprints, and verifies by the exact
+Jaccard index.
 
 Cases: a null or empty text has fingerprint zero, which links like any other;
 a text with fewer words than a shingle is one shingle; repeated shingles count
 each time; repeated rows and equal texts have equal fingerprints; an empty
 table gives an empty result; columns other than the two named are ignored.
+`representatives` takes two texts without a word as equal, and of equal rows
+gives their key once; ties go to the least key.
 """
 
 from __future__ import annotations
@@ -36,14 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.blocks import sliced
 from caseloom.operators.components import connected_components
 from caseloom.scratch import save
 
 SEED = 42
 #: Distinct fingerprints under one key beyond which pairs are not joined directly.
-CROWD = 24
-#: Rows of a group that are settled in one round.
-AT_ONCE = 64
+CROWD = 2
+#: Fingerprints of which one task makes the variants, at most.
+TASK_ROWS = 50_000
+#: Share of differing bits beyond which a candidate pair is not looked at; pairs at Jaccard 0.8 differ in a tenth.
+FAR = 0.25
+#: Bytes of text whose shingle sets are made at once.
+SET_BYTES = 1 << 20
 #: Hashes whose bits are unpacked at once.
 ROWS = 1 << 15
 
@@ -124,19 +135,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variant_index(prints: DataFrame, distance: int) -> DataFrame:
-    """(key, fp): fp under each of its one-wildcard segment variants.
+def variant_index(prints: DataFrame, distance: int = 2, segments: int | None = None, name: str = "fp") -> DataFrame:
+    """(key, `name`): `name` under each of the one-wildcard variants of the segments of fp.
 
     A key packs the variant's number (segment and wildcard) above the segment's
     bits without the wildcard, so keys are equal only if both are.
     """
-    segments = distance // 2 + 1
+    segments = segments or distance // 2 + 1
     cuts = [64 * i // segments for i in range(segments + 1)]
     variants = []
     for low, high in zip(cuts, cuts[1:]):
         part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(_signed((1 << (high - low)) - 1)).cast("long"))
         variants += [part.bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ (1 << bit))).cast("long")) + F.lit((len(variants) + bit) << 32) for bit in range(high - low)]
-    return prints.select(F.explode(F.array(*variants)).alias("key"), "fp")
+    return prints.select(F.explode(F.array(*variants)).alias("key"), name)
+
+
+def _spread(prints: DataFrame) -> DataFrame:
+    """The rows dealt to enough tasks for each to be taken 64 times."""
+    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // TASK_ROWS + 1)
+    return prints.repartition(n)
 
 
 def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame:
@@ -145,14 +162,17 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     prints: a column fp without repeats.  Keys that hold one fingerprint are
     dropped after a count that is pre-aggregated before its shuffle.
     """
-    index = variant_index(prints, distance)
+    index = variant_index(_spread(prints), distance)
     counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = save(index.join(counts, "key").select("key", "fp", "n"), "variants")
     calm = shared.where(F.col("n") <= crowd).select("key", "fp")
-    near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance
-    found = calm.withColumnRenamed("fp", "src").join(calm.withColumnRenamed("fp", "dst"), "key").where(F.col("src") < F.col("dst")).where(near).select("src", "dst")
-    crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
-    return found.unionByName(_through_midpoints(crowded, distance)).distinct()
+    if crowd <= 2:
+        found = calm.groupBy("key").agg(F.min("fp").alias("src"), F.max("fp").alias("dst")).select("src", "dst")
+    else:
+        found = calm.withColumnRenamed("fp", "src").join(calm.withColumnRenamed("fp", "dst"), "key").select("src", "dst")
+    found = found.where(F.col("src") < F.col("dst")).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance)
+    crowded = save(shared.where(F.col("n") > crowd).select("fp").distinct(), "crowded")
+    return found.unionByName(_through_midpoints(_spread(crowded), distance)).distinct()
 
 
 def _through_midpoints(prints: DataFrame, distance: int) -> DataFrame:
@@ -177,9 +197,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
     names = [f"fp{j}" for j in range(prints)]
-    node = F.col("fp0") if prints == 1 else F.xxhash64(*names)
-    marks = save(fingerprints(docs, id_col, text_col, shingle, prints).withColumn("node", node), "fingerprints")
-    groups = save(marks.groupBy("node", *names).agg(F.min("id").alias("least")), "distinct_fingerprints")
+    marks = save(fingerprints(docs, id_col, text_col, shingle, prints), "fingerprints")
+    groups = marks.groupBy(*names).agg(F.min("id").alias("least"))
+    # numbers hold once written; with one fingerprint it names itself
+    groups = save(groups.withColumn("node", F.col("fp0") if prints == 1 else F.monotonically_increasing_id()), "distinct_fingerprints")
+    marks = marks.withColumn("node", F.col("fp0")) if prints == 1 else save(marks.join(groups.drop("least"), names), "numbered")
     edges = None
     for name in names:
         if prints == 1:
@@ -207,66 +229,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(classes, "node").select("id", F.col("fp0").alias("fp"), "component")
 
 
-def _similar(a: set[int], b: set[int], least: float) -> bool:
-    """Whether the Jaccard index of two sets is `least` or more; two empty sets are equal."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= least * (len(a) + len(b) - both)
-
-
-def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """(part, key, shingles) of rows (part, key, text): the sorted distinct shingle hashes of each text."""
+def shingle_sets(rows: DataFrame, size: int = 5) -> DataFrame:
+    """(node, n, shingles) of rows (node, text): the sorted distinct shingle hashes of each text and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64)).view(np.int64) for t in some.column(2)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["part", "key", "shingles"])
-
-    return rows.select("part", "key", "text").mapInArrow(run, f"part long, key {rows.schema['key'].dataType.simpleString()}, shingles array<long>")
+        for batch in sliced(batches, 1, SET_BYTES):
+            sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
 
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, shingles array<long>")
 
-def _first_come(rows: DataFrame, least: float) -> DataFrame:
-    """(part, key, shingles) of the rows of each part that are not similar to an earlier one that stays."""
 
-    def choose(table: pa.Table) -> pa.Table:
-        keys, sets = table.column("key").to_pylist(), [set(x) for x in table.column("shingles").to_pylist()]
-        stay: list[int] = []
-        for i in sorted(range(len(keys)), key=lambda i: tuple(keys[i].values())):
-            if not any(_similar(sets[i], sets[j], least) for j in stay):
-                stay.append(i)
-        return table.take(stay)
+def candidates(nodes: DataFrame, prints: int, far: float = FAR) -> DataFrame:
+    """(a, b), a < b: nodes that share a one-wildcard variant of a 32-bit segment and differ in at most `far` of all bits.
 
-    return rows.groupBy("part").applyInArrow(choose, rows.schema)
+    nodes: (node, fp0, ...).  Under each key every node meets the least and the
+    greatest one: all pairs of up to three, and of more as many pairs as twice
+    their number, never their square.  Nodes of one group share many keys with
+    other ends, so the links between them hold together.
+    """
+    nodes = _spread(nodes.select("node", *[f"fp{j}" for j in range(prints)]))
+    met = []
+    for j in range(prints):  # written one by one, so that the variants of one fingerprint at a time are shuffled
+        index = variant_index(nodes.select("node", F.col(f"fp{j}").alias("fp")), segments=2, name="node")
+        ends = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        pairs = index.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+        met.append(save(pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "met"))
+    found = met[0]
+    for more in met[1:]:
+        found = found.unionByName(more)
+    sides = [nodes.select(F.col("node").alias(side), F.array(*[f"fp{j}" for j in range(prints)]).alias(f"{side}_bits")) for side in "ab"]
+    bits = sum((F.bit_count(F.col("a_bits")[j].bitwiseXOR(F.col("b_bits")[j])) for j in range(1, prints)), F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0])))
+    return save(found.distinct().join(sides[0], "a").join(sides[1], "b").where(bits <= int(64 * prints * far)).select("a", "b"), "candidates")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard index of `least` or more; two empty sets are equal.
+
+    sets: (node, n, shingles).
+    """
+    sized, whole = sets.select("node", "n"), sets.select("node", "shingles")
+    some = pairs.join(sized.toDF("a", "x"), "a").join(sized.toDF("b", "y"), "b").where(F.least("x", "y") >= least * F.greatest("x", "y"))
+    both = F.size(F.array_intersect("p", "q"))
+    return some.join(whole.toDF("a", "p"), "a").join(whole.toDF("b", "q"), "b").where(both >= least * (F.col("x") + F.col("y") - both)).select("a", "b")
 
 
-def dissimilar(sets: DataFrame, least: float, at_once: int = AT_ONCE) -> DataFrame:
-    """(part, key) of the rows that stay so that each other row has Jaccard `least` or more with a stayer of its part, and no two stayers have.
+def representatives(rows: DataFrame, least: float = 0.8, size: int = 5, shingle: int = 2, prints: int = 6) -> DataFrame:
+    """(key): the least key of every group of near copies, and of every text that is alone.
 
-    sets: (part, key, shingles), key a struct without nulls that is unique in its
-    part.  Parts of at most `at_once` rows are settled in order of their keys.
-    In a larger one, each round settles the least key of each of `at_once`
-    shares of the rows, the least of all among them, and compares all others
-    with those of them that stay; so no pairs of a large group are made.
+    rows: (key, text), key a struct that names a row; equal keys have equal
+    texts.  Texts are linked if their Jaccard index on distinct shingles of
+    `size` words is `least` or more; a group is what links connect.
+    Fingerprints of runs of `shingle` words only propose pairs: fewer words
+    than `size`, as a changed word changes fewer of those.  Equal texts meet
+    before, by a 128-bit hash, so copies cost no more than one row each.
     """
-    left, stayed = sets, None
-    while not left.isEmpty():
-        large = left.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("part")
-        share = F.pmod(F.xxhash64("key"), F.lit(at_once))
-        chosen = left.join(large, "part", "left_semi").groupBy("part", share.alias("share")).agg(F.min("key").alias("key")).select("part", "key")
-        chosen = save(chosen, "chosen")
-        now = left.join(large, "part", "left_anti").unionByName(left.join(chosen, ["part", "key"], "left_semi"))
-        stay = save(_first_come(now, least), "stay")
-        found = stay.select("part", "key")
-        stayed = found if stayed is None else stayed.unionByName(found)
-        if chosen.isEmpty():
-            break
-        rest = save(left.join(large, "part", "left_semi").join(chosen, ["part", "key"], "left_anti"), "rest")
-        both = F.size(F.array_intersect("shingles", "others"))
-        near = both >= least * (F.size("shingles") + F.size("others") - both)
-        pairs = rest.join(stay.select("part", F.col("shingles").alias("others")), "part").where(F.least(F.size("shingles"), F.size("others")) >= least * F.greatest(F.size("shingles"), F.size("others")))
-        gone = save(pairs.where(near).select("part", "key").distinct(), "gone")
-        left = save(rest.join(gone, ["part", "key"], "left_anti"), "left")
-    return sets.select("part", "key").limit(0) if stayed is None else stayed
+    spark = rows.sparkSession
+    names = [f"fp{j}" for j in range(prints)]
+    body = F.struct(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i"))
+    marks = save(fingerprints(rows.select(F.struct("key", body.alias("body")).alias("id"), "text"), "id", "text", shingle, prints), "marks")
+    texts = marks.groupBy("id.body").agg(F.min(F.struct("id.key", *names)).alias("first")).select("first.*")
+    # numbered in the order of keys; numbers hold once written
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = save(texts.repartitionByRange(parts, "key").sortWithinPartitions("key").select(F.monotonically_increasing_id().alias("node"), "key", *names), "nodes")
+    pairs = candidates(nodes, prints)
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "wanted")
+    sets = save(shingle_sets(rows.join(wanted, "key").select("node", "text"), size).dropDuplicates(["node"]), "shingles")
+    parts_of = connected_components(similar(pairs, sets, least), "a", "b")
+    return nodes.join(parts_of.where("node <> component"), "node", "left_anti").select("key")

@@ -34,26 +34,24 @@ def tables(spark, path):
     return rows, benchmark
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def brute(spark, path, rows, benchmark):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
     score = model.score(quality.matrix([r[1] for r in rows]))
     rows = [r for r, s in zip(rows, score) if s >= 0.3]
     assert 150 < len(rows) < 290
-    # near copies: all pairs of all fingerprints
-    prints = []
-    for r in rows:
-        hashes = np.array(simhash.shingle_hashes((r[1] or "").encode(), 5), np.uint64)
-        prints.append([sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in simhash._scrambled(hashes, j)) * 2 > len(hashes)) for j in range(P.PRINTS)])
+    # near copies: all pairs of texts by the Jaccard index of their five-word shingles
+    sets = [set(simhash.shingle_hashes((r[1] or "").encode(), 5)) for r in rows]
     group = list(range(len(rows)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            for j in range(i):
-                if group[i] != group[j] and any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j])):
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is not None and rows[j][0] is not None and jaccard(sets[i], sets[j]) >= 0.8 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
     heads = {}
     for r, g in zip(rows, group):
         if r[0] is not None:
@@ -135,19 +133,25 @@ def test_more_fingerprints_link_more_and_only_near_texts(spark):
     assert all(0 <= unsigned(r.fp) < 1 << 64 for r in parts)
 
 
-def test_fingerprints_of_the_stage_find_most_very_near_pairs():
+def test_fingerprints_of_the_stage_find_nine_of_ten_pairs_from_similarity_0_8(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(5000)]
-    found = 0
-    for i in range(400):  # similarity 0.96
-        base = [rng.choice(words) for _ in range(250)]
+    rows, similarity = [], {}
+    for i in range(500):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 500))]
         near = list(base)
-        near[rng.randrange(5, 245)] = "changed"
-        hashes = [np.array(simhash.shingle_hashes(" ".join(x).encode(), P.SHINGLE), np.uint64) for x in (base, near)]
-        bounds = np.array([0, len(hashes[0]), len(hashes[0]) + len(hashes[1])])
-        marks = [simhash.majority(simhash._scrambled(np.concatenate(hashes), j), bounds).tolist() for j in range(P.PRINTS)]
-        found += any((a ^ b).bit_count() <= P.DISTANCE for a, b in marks)
-    assert found >= 300
+        for at in rng.sample(range(len(base)), max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02])))):
+            near[at] = "changed"
+        sets = [set(simhash.shingle_hashes(" ".join(x).encode(), P.SHINGLE)) for x in (base, near)]
+        similarity[i] = jaccard(*sets)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "node long, text string")
+    marks = simhash.fingerprints(docs, "node", "text", P.WORDS, P.PRINTS).withColumnRenamed("id", "node")
+    found = {(r.a, r.b) for r in simhash.candidates(marks, P.PRINTS).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in found)  # nothing else is proposed
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        band = [i for i, j in similarity.items() if low <= j < high]
+        assert len(band) > 50 and sum((2 * i, 2 * i + 1) in found for i in band) >= 0.9 * len(band)
 
 
 def test_near_dedup_drops_only_verified_copies(spark, tmp_path):
@@ -164,21 +168,30 @@ def test_near_dedup_drops_only_verified_copies(spark, tmp_path):
     assert got[:4] == [0, 1, 2, 3] and 4 not in got
 
 
-def test_large_groups_are_settled_without_loss(spark):
+def test_large_groups_are_settled_without_pairs(spark):
     rng = random.Random(10)
-    rows = []
-    for c in range(5):  # five centres in one part
-        base = rng.sample(range(1 << 40), 100)
-        for i in range(60):
-            rows.append((1, (rng.randrange(1 << 30), c * 100 + i), sorted([*base[: 100 - i % 4], *rng.sample(range(1 << 41, 1 << 42), i % 4)])))
-    rows += [(2, (i, i), [1, 2, 3, 4 + i // 2]) for i in range(6)]
-    sets = spark.createDataFrame(rows, "part long, key struct<doc_id:long,row:long>, shingles array<long>")
-    for at_once in (8, 64, 1000):
-        stay = {(r.part, tuple(r.key)) for r in simhash.dissimilar(sets, 0.8, at_once).collect()}
-        by = {(p, k): set(s) for p, k, s in rows}
-        jaccard = lambda a, b: len(by[a] & by[b]) / len(by[a] | by[b])
-        assert len(stay) == 5 + 3 and min(k for p, k, _ in rows if p == 1) in {k for _, k in stay}
-        assert all(r in stay or any(r[0] == s[0] and jaccard(r, s) >= 0.8 for s in stay) for r in by)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(3):  # centres with many near copies, which differ among each other
+        base = [rng.choice(words) for _ in range(200)]
+        for i in range(150):
+            near = list(base)
+            for _ in range(i % 3):
+                near[rng.randrange(200)] = f"own{i}"
+            texts.append(" ".join(near))
+    texts += [" ".join(rng.choice(words) for _ in range(100)) for _ in range(50)]
+    texts += ["", None, " ", "one", "One", "a b", "A  b", *texts[:30]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([((i, i), t) for i, t in enumerate(texts)], "key struct<doc_id:long,row:long>, text string")
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert len(set(group)) == 3 + 50 + 3
+    assert {r.key.doc_id for r in simhash.representatives(docs).collect()} == set(group)
 
 
 def test_rows_that_share_an_id_but_not_a_text(spark, tmp_path):
