@@ -1,18 +1,23 @@
 """Personal data by weak supervision, in DataFrame and SQL functions alone.
 
 Seven patterns propose spans.  Four of them, with their checks, give the base
-spans, which always stay.  Every proposed span gets the votes (1, -1, or 0 for
-no opinion) of six labelers: a pattern labeler, a shape labeler, a gazetteer,
-two context labelers over the words before it, and a junk-shape labeler.
-Expectation-maximisation over the counts of vote patterns estimates how
-reliable each labeler is; the posteriors then train a logistic span classifier
-on features of the span that are none of the votes.  Proposed spans that it
+spans, which always stay; a match of theirs that fails its check (a card number
+without a valid check digit) is never added.  Every proposed span gets the
+votes (1, -1, or 0 for no opinion) of six labelers: a pattern labeler, a shape
+labeler, a gazetteer (given names, area codes, domains, card issuers, country
+codes, known networks), two context labelers over the words before it, and a
+junk-shape labeler.  Expectation-maximisation over the counts of vote patterns
+estimates, for each kind of span, how reliable each labeler is; the posteriors
+then train a logistic span classifier on features of the span that are none of
+the votes.  Proposed addresses in words, national numbers and names that it
 accepts, and that overlap no base span, are added.
 
 One pass reads the texts; the proposals with votes and features go to a table
 in the shared folder.  What reaches the driver are two aggregates over all of
 them, whose sizes are bounded by the code: at most 7 * 3^6 vote patterns and
-7 * 4 * 3^4 feature patterns, whatever the input.
+7 * 4 * 3^4 feature patterns, whatever the input.  Positions and overlaps come
+from scans in steps of STEP matches, so a text of very many matches takes
+nearly linear time.
 
 Positions come from the pieces between matches, so a text is walked once for
 each pattern.  The patterns are possessive and start only where no match could
@@ -53,15 +58,39 @@ DOMAINS = "com org net edu gov info io de fr es it uk eu ch at be nl mx ar examp
 GOOD_WORDS = "tel telephone phone call fax mobile cell mail email contact card visa mastercard amex ip address host server ssn iban account kontakt telefon handy karte konto appelez carte compte tarjeta cuenta llame correo".split()
 BAD_WORDS = "version isbn issn page pages fig figure table order invoice ref id no nr art date year since chapter section seite datum jahr page année página fecha".split()
 
-FIELDS = "start:bigint,end:bigint,word:string,pre:string,post:string"
+GIVEN = "adam alice andrea andreas anna anne antoine antonio ben camille carlos carmen charles charlotte christian claire claude daniel david elena elisabeth emily emma eric fernando francisco frank george hanna hans heinrich helen henry inge jack james jan javier jean jennifer johann john jorge jose juan julia julie karl kate katrin klaus laura laurent lisa louis lucia luis manuel marc maria marie mark markus martin mary matthias michael michel miguel nicolas olivia oliver pablo patricia paul pedro peter philippe pierre rafael robert rosa sabine sarah sofia sophie stefan susan teresa thomas tom ursula uwe werner william wolfgang".split()
+AREA_CODES = "020 030 040 069 089 01 02 03 04 05 06 07 0800 0900 201 202 206 212 213 214 305 310 312 404 408 415 510 512 555 617 646 650 702 713 718 773 800 818 888 900 917 91 93".split()
+NETS = r"^(?:10|127|192\\.168|172\\.(?:1[6-9]|2[0-9]|3[01])|169\\.254|8\\.8|1\\.1)\\."
+
+#: Matches of one step of a scan.
+STEP = 64
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _scan(values: str, start: str, step: str) -> str:
+    """SQL: for each place of a non-empty array of numbers, what `step` (of a and x) makes of start and all values before.
+
+    An aggregate that appends copies its array each time, so values are taken
+    STEP at a time, after a scan over the steps' totals.
+    """
+    steps = f"sequence(0, (size({values}) - 1) div {STEP})"
+    some = f"slice({values}, u * {STEP} + 1, {STEP})"
+    more = f"concat(s, array({_let('a', 'element_at(s, -1)', step)}))"
+    heads = f"aggregate(transform({steps}, u -> aggregate({some}, {start}, (a, x) -> {step})), array({start}), (s, x) -> {more})"
+    return _let("heads", heads, f"flatten(transform({steps}, u -> slice(aggregate({some}, array(heads[u]), (s, x) -> {more}), 1, size({some}))))")
 
 
 def _places(m: str, p: str) -> str:
     """SQL: structs of the matches in array m, between the pieces in array p."""
-    none = f"cast(array() as array<struct<{FIELDS}>>)"
-    at = f"(a.pos + length({p}[i]))"
-    one = f"named_struct('start', {at}, 'end', {at} + length({m}[i]), 'word', {m}[i], 'pre', right({p}[i], 24), 'post', left({p}[i + 1], 12))"
-    return f"case when size({m}) = 0 then {none} else aggregate(sequence(0, size({m}) - 1), named_struct('pos', 0L, 'out', {none}), (a, i) -> named_struct('pos', {at} + length({m}[i]), 'out', concat(a.out, array({one}))), a -> a.out) end"
+    none = "cast(array() as array<struct<start:bigint,end:bigint,word:string,pre:string,post:string>>)"
+    sizes = f"transform(sequence(0, size({m}) - 1), i -> cast(length({p}[i]) + length({m}[i]) as bigint))"
+    one = f"named_struct('start', at[i] + length({p}[i]), 'end', at[i] + length({p}[i]) + length({m}[i]), 'word', {m}[i], 'pre', right({p}[i], 24), 'post', left({p}[i + 1], 12))"
+    found = _let("sizes", sizes, _let("at", _scan("sizes", "0L", "a + x"), f"transform(sequence(0, size({m}) - 1), i -> {one})"))
+    return f"case when size({m}) = 0 then {none} else {found} end"
 
 
 def _luhn(digits: str) -> str:
@@ -96,12 +125,18 @@ def _proposal(kind: str) -> str:
         "number": vote(rf"{w} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$|^[(][0-9]{{3}}[)] [0-9]{{3}}-[0-9]{{4}}$'", rf"{w} rlike '[.].*-|/'"),
         "card": vote(rf"{w} rlike '^[0-9]{{4}}([ -]?[0-9]{{4}}){{2}}[ -]?[0-9]{{1,7}}$'", rf"{w} rlike '[ -].[ -].[ -]'"),
         "email": vote(rf"{w} rlike '^[A-Za-z0-9]'", rf"{w} rlike '^[._%+-]'"),
-        "ip": vote(rf"{w} rlike '^(10|127|172|192)[.]|^[1-9]'", rf"{w} rlike '^0|[.]0[0-9]'"),
+        "ip": vote(rf"{w} rlike '^[1-9]'", rf"{w} rlike '^0|[.]0[0-9]'"),
+        "mention": vote(rf"{w} rlike '^[A-Za-z0-9]' and {w} rlike '(?:[.]|dot[\\])}}])[ ]?[A-Za-z]{{2,}}$'", rf"{w} rlike '[0-9]$'"),
+        "name": vote(rf"{w} rlike '^[^ ]+ [^ ]+ [^ ]'", "false"),
     }.get(kind, vote("false", "false"))
     tail = f"lower(regexp_extract({w}, '[.\\\\])}} ]([A-Za-z0-9-]+)$', 1))"
+    group = f"regexp_extract({w}, '([0-9]+)', 1)"
     known = {
         "email": vote(f"{tail} in ({', '.join(map(repr, DOMAINS))})", f"{tail} rlike '^[0-9]+$'"),
         "mention": vote(f"{tail} in ({', '.join(map(repr, DOMAINS))})", "false"),
+        "name": vote(_any_word(w, GIVEN), "false"),
+        "number": vote(f"{group} in ({', '.join(map(repr, AREA_CODES))})", f"{group} rlike '^(19|20)[0-9][0-9]$'"),
+        "ip": vote(f"{w} rlike '{NETS}'", f"{w} rlike '^0'"),
         "card": vote(f"{w} rlike '^(4|5[1-5]|3[47]|6011|62)'", f"{w} rlike '^(0|1|9)'"),
         "phone": vote(f"{w} rlike '^[+](1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])'", f"{w} rlike '^[+]0'"),
     }.get(kind, vote("false", "false"))
@@ -162,6 +197,10 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
+#: Share of proposals that are taken for personal data before any vote is seen; so a span without votes isn't added.
+PRIOR = 0.4
+#: Beyond any position in a text.
+FAR = 1 << 40
 #: Number of values of each mark.
 SIZES = (len(KINDS), 4, 3, 3, 3, 3)
 
@@ -195,13 +234,20 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = save(proposals(docs, id_col, text_col), "proposals")
     spans = found.where("size(spans) > 0").select(F.explode("spans").alias("s"))
-    votes = [(tuple(r.votes), float(r.n)) for r in spans.groupBy("s.votes").agg(F.count("*").alias("n")).collect()]
-    share, weigh = reliabilities(votes)
-    post = f"1 / (1 + exp(-({share!r}D + {_looked_up('s.votes', [[w[-1], w[0], w[1]] for w in weigh], 1)})))"
+    votes: dict[int, list[tuple[tuple[int, ...], float]]] = {}
+    for r in spans.groupBy("s.place", "s.votes").agg(F.count("*").alias("n")).collect():
+        votes.setdefault(r.place, []).append((tuple(r.votes), float(r.n)))
+    learnt = {k: reliabilities(sorted(counts), prior=PRIOR) for k, counts in sorted(votes.items())}
+    cases = [f"when {k} then {share!r}D + {_looked_up('s.votes', [[w[-1], w[0], w[1]] for w in weigh], 1)}" for k, (share, weigh) in learnt.items()]
+    post = f"1 / (1 + exp(-(case s.place {' '.join(cases)} end)))"
     rows = spans.groupBy("s.marks").agg(F.sum(F.expr(post)).alias("yes"), F.count("*").alias("n")).collect() if votes else []
     weights = fit_spans([(tuple(r.marks), r.yes, float(r.n)) for r in sorted(rows, key=lambda r: tuple(r.marks))])
     p = f"1 / (1 + exp(-({_looked_up('s.marks', weights)})))"
     scored = F.expr(f"transform(spans, s -> named_struct('start', s.start, 'place', s.place, 'end', s.end, 'kind', s.kind, 'base', s.base, 'p', {p}))")
-    base = "filter(spans, s -> s.base)"
-    clear = f"s.p >= {accept!r}D and not exists(held, b -> b.start < s.end and s.start < b.end)"
-    return found.select("id", scored.alias("spans")).withColumn("held", F.expr(base)).select("id", F.expr(f"filter(spans, s -> s.base or ({clear}))").alias("spans"))
+    # a span overlaps an earlier base span if the farthest end before is beyond its start, a later one if the nearest start is before its end
+    before = _scan("ends", "0L", "greatest(a, x)")
+    after = f"reverse({_scan('starts', str(FAR) + 'L', 'least(a, x)')})"
+    clear = f"s.place >= {len(BASE)} and s.p > {accept!r}D and past[i] <= s.start and next[i] >= s.end"
+    kept = f"filter(spans, (s, i) -> s.base or ({clear}))"
+    kept = _let("ends", "transform(spans, s -> case when s.base then s.end else 0L end)", _let("past", before, _let("starts", f"reverse(transform(spans, s -> case when s.base then s.start else {FAR}L end))", _let("next", after, kept))))
+    return found.select("id", scored.alias("spans")).select("id", F.expr(f"case when size(spans) = 0 then spans else {kept} end").alias("spans"))

@@ -69,3 +69,70 @@ def test_classifier_adds_only_clear_spans(spark):
     assert all({"email", "phone"} <= got[i] for i in range(60))
     assert not any("number" in got[100 + i] for i in range(60))
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def labelled(seed, n=400):
+    """(text, true added spans): addresses in words, national numbers, names; beside dates, versions, prices and failing cards."""
+    rng = random.Random(seed)
+    words = "the of report garden window later quiet number seven house under bright".split()
+    rows = []
+    for i in range(n):
+        text, true = "", set()
+        for _ in range(rng.randrange(1, 5)):
+            text += " ".join(rng.choice(words) for _ in range(rng.randrange(3, 9))) + " "
+            kind = rng.choice(["mention", "number", "name", "date", "version", "card", "page", "email"])
+            area, name = rng.choice(["212", "415", "020", "800"]), rng.choice(["Anna", "Paul", "Maria", "Robert", "Claire"])
+            lead, span = {
+                "mention": ("mail ", f"{rng.choice(words)}{i} [at] mail{i} [dot] com"),
+                "number": (rng.choice(["tel ", "call ", "fax: "]), f"({area}) 555-{rng.randrange(1000, 9999)}"),
+                "name": ("", f"{rng.choice(['Mr.', 'Mrs.', 'Dr.'])} {name} {rng.choice(['Stone', 'Field', 'Brook'])}"),
+                "date": ("dated ", f"20{rng.randrange(10, 25)}-0{rng.randrange(1, 9)}-{rng.randrange(10, 28)}"),
+                "version": ("version ", f"{rng.randrange(10, 20)}.{rng.randrange(10, 99)}.{rng.randrange(10, 99)}"),
+                "card": ("", "4111 1111 1111 1112"),
+                "page": ("pages ", f"{rng.randrange(10, 99)}-{rng.randrange(100, 999)}"),
+                "email": ("", f"a{i}@b.org"),
+            }[kind]
+            text += lead
+            if kind in ("mention", "number", "name"):
+                true.add((kind, len(text), len(text) + len(span)))
+            text += span + ", "
+        rows.append((text, true))
+    return rows
+
+
+def test_added_spans_are_right_and_most_are_found(spark):
+    rows = labelled(3)
+    docs = spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(rows)], "doc_id long, text string, spans string")
+    got = {(r.id, s.kind, s.start, s.end) for r in pii.personal_data(docs).collect() for s in r.spans if not s.base}
+    want = {(i, *s) for i, (_, true) in enumerate(rows) for s in true}
+    assert len(want) > 200 and len(got & want) >= 0.95 * len(got) and len(got & want) >= 0.9 * len(want)
+    for kind in ("mention", "number", "name"):
+        assert sum(s[1] == kind for s in got & want) >= 0.8 * sum(s[1] == kind for s in want)
+
+
+def test_added_spans_do_not_overlap_base_spans(spark):
+    rng = random.Random(4)
+    bits = ["call (212) 555-0123", "+1 (212) 555-0123", "1.2.3.4", "4111 1111 1111 1111", "4111 1111 1111 1112", "a@b.co", "Mr. Paul Stone", " ", "-", ".", "+1", "(212) 555"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(200)))) for i in range(200)]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any(not s.base for r in found for s in r.spans)
+    for r in found:
+        base = [s for s in r.spans if s.base]
+        assert [(s.start, s.place) for s in r.spans] == sorted((s.start, s.place) for s in r.spans)
+        for s in r.spans:
+            if not s.base:
+                assert s.kind not in pii.BASE and s.p > 0.5
+                assert not any(b.start < s.end and s.start < b.end for b in base)
+
+
+def test_very_many_matches_take_nearly_linear_time(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"tel (212) 555-{i % 9000 + 1000}" if i % 2 else "a@b.co" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    spans = pii.personal_data(docs).collect()[0].spans
+    assert time.time() - began < 60 and len(spans) == n
+    assert all(text[s.start : s.end] == "a@b.co" for s in spans if s.kind == "email")
+    assert all(text[s.start : s.end].startswith("(212) 555-") for s in spans if s.kind == "number")
