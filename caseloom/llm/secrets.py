@@ -8,10 +8,11 @@ literals and names, in the forms of `name = "literal"`, `name: value`,
 and `export NAME=value`.  Names that were given one literal are constants: where
 one is assigned to another name, that name counts as a target of the literal,
 transitively.  Each literal is scored by the most sensitive of its targets'
-names and by its own shape; from THRESHOLD on its place is a span of kind
+names and by its own shape, a connection string with a password as such; from THRESHOLD on its place is a span of kind
 `literal`.
 
-Cases: null and empty texts have no spans; texts are scanned whole; repeated
+Cases: null and empty texts have no spans; texts are scanned whole and in
+nearly linear time, with unterminated quotes and long chains of names too; repeated
 rows each get their spans; empty tables are fine; other columns are ignored.
 """
 
@@ -41,9 +42,13 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|none|null|nil|true|false|todo|chang
 THRESHOLD = 4.0
 
 _LEX = re.compile(
-    r"""(?P<comment>(?:(?<!\S)\#|(?<![\w+/=:])//|^[^\S\n]*(?:--|;))[^\n]*)|(?P<open>(?<![\w/*.])/\*|\"{3}|'{3})|(?P<string>(?:(?<![\w$])[bBrRuUfF]{1,2})?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|`[^`\n]*`)|(?P<sign>:=|=>|==|!=|<=|>=|\+=|[=:+])|(?P<name>[A-Za-z_$][\w$.\-]*)|(?P<value>[^\s"'`=:,;(){}\[\]]+)|(?P<line>\n)|(?P<end>[,(){}\[\]])|(?P<space>[^\S\n]+|.)""",
+    r"""(?P<comment>(?:(?<!\S)\#|(?<![\w+/=:])//|^[^\S\n]*(?:--|;))[^\n]*)|(?P<open>(?<![\w/*.])/\*|\"{3}|'{3})|(?P<quote>(?:(?<![\w$])[bBrRuUfF]{1,2})?"|(?:(?<![\w$])[bBrRuUfF]{1,2}|(?<!\w))')|(?P<string>`[^`\n]*`)|(?P<sign>:=|=>|==|!=|<=|>=|\+=|[=:+])|(?P<name>[A-Za-z_$][\w$.\-]*)|(?P<value>[^\s"'`=:,;(){}\[\]]+)|(?P<line>\n)|(?P<end>[,(){}\[\]])|(?P<space>[^\S\n]+|.)""",
     re.ASCII | re.DOTALL | re.MULTILINE,
 )
+#: What may follow an opening quote, up to the closing one or the end of the line.
+_INSIDE = {c: re.compile(rf"(?:[^{c}\\\n]|\\.)*+", re.DOTALL) for c in "\"'"}
+#: Connection strings with a user's password.
+_CREDENTIALS = re.compile(r"[a-z][a-z0-9+.-]*://[^/\s:@]*:([^/\s@]+)@", re.ASCII)
 #: An unquoted value: up to white space, comma, semicolon, bracket or quote.
 _RAW = re.compile(r"""[^\s,;(){}\[\]"'`]+""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -75,8 +80,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, word, start, end) of all but spaces and comments; comments and strings may span lines, openings without an end are left out."""
-    at, lost = 0, set()
+    """(kind, word, start, end) of all but spaces and comments; comments and strings may span lines, openings without an end are left out.
+
+    Whether a quote closes doesn't depend on where its string began, so up to
+    where one string has found no end, no later one of that quote has one.
+    """
+    at, lost, dead = 0, set(), {"'": -1, '"': -1}
     while True:
         for m in _LEX.finditer(text, at):
             kind = m.lastgroup
@@ -90,7 +99,17 @@ def _tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
                 if end != "*/":
                     yield "string", text[m.start() : at], m.start(), at
                 break
-            if kind not in ("space", "comment"):
+            if kind == "quote":
+                c = m[0][-1]
+                stop = dead[c] if m.end() <= dead[c] else _INSIDE[c].match(text, m.end()).end()
+                if text[stop : stop + 1] == c and stop > dead[c]:
+                    at = stop + 1
+                    yield "string", text[m.start() : at], m.start(), at
+                    break
+                dead[c] = stop
+                if len(m[0]) > 1:
+                    yield "name", m[0][:-1], m.start(), m.end() - 1
+            elif kind not in ("space", "comment"):
                 yield kind, m[0], m.start(), m.end()
         else:
             return
@@ -208,26 +227,30 @@ def literal_spans(text: str) -> list[Span]:
     if not _LIKELY.search(text):
         return []
     given: dict[str, list[Literal]] = {}
-    passed: dict[str, set[str]] = {}
-    names: dict[Literal, set[str]] = {}
+    sources: dict[str, list[str]] = {}  # of a target, the names whose constants it takes
     for target, terms in pairs(text):
+        given.setdefault(target, [])
         for term in terms:
             if isinstance(term, Literal):
-                given.setdefault(target, []).append(term)
-                names.setdefault(term, set()).add(target)
+                given[target].append(term)
             else:
-                passed.setdefault(term, set()).add(target)
+                sources.setdefault(target, []).append(term)
+    # a name is as telling as the most telling one that its constant reaches: from those on, each is settled once
+    reach: dict[str, float] = {}
+    for value, name in sorted(((sensitivity(n), n) for n in given), reverse=True):
+        todo = [] if name in reach else [name]
+        reach.setdefault(name, value)
+        while todo:
+            for source in sources.get(todo.pop(), ()):
+                if source not in reach:
+                    reach[source] = value
+                    todo.append(source)
     best: dict[Literal, float] = {}
-    for source, literals in given.items():
-        seen, todo = {source}, [source]
-        while todo:  # names that the constant reaches
-            for further in passed.get(todo.pop(), ()):
-                if further not in seen:
-                    seen.add(further)
-                    todo.append(further)
-        # a name that holds several values passes on each
-        value = max(map(sensitivity, seen))
+    for name, literals in given.items():
         for literal in literals:
+            value = reach[name]
+            if _CREDENTIALS.match(literal.text):
+                value = max(value, 0.0) + SENSITIVE["password"]
             best[literal] = max(best.get(literal, -9.0), value)
     out = []
     for literal, value in best.items():

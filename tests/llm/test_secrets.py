@@ -94,3 +94,62 @@ def test_comments_and_strings_over_lines_hold_no_assignments():
     assert "literal" not in dict(kinds('doc = """\npassphrase = Zx81kdlPQ0x7aa\n"""'))
     assert ("literal", "Zx81kdlPQ0x7aa") in kinds('ls src /*\npassphrase = "Zx81kdlPQ0x7aa"')
     assert "literal" not in dict(kinds("auth:\n  link: Zx81kdlPQ0x7aa\n"))
+
+
+@pytest.mark.parametrize(
+    "text, literal",
+    [
+        ('password = """Zx81kdlPQ0x7aa"""', "Zx81kdlPQ0x7aa"),
+        ("DATABASE_URL=postgres://user:p4ssW0rd@host/db", "postgres://user:p4ssW0rd@host/db"),
+        ("it's on, secret_key = 'Zx81kdlPQ0x7aa', isn't it", "Zx81kdlPQ0x7aa"),
+        (r"private_key = 'Zx81\'kdlPQ0x7aa'", r"Zx81\'kdlPQ0x7aa"),
+    ],
+)
+def test_quotes_and_connection_strings(text, literal):
+    assert ("literal", literal) in kinds(text)
+
+
+def brute_reach(given, passed):
+    """The most telling name that each name's constant reaches."""
+    out = {}
+    for name in given:
+        seen, todo = {name}, [name]
+        while todo:
+            for further in passed.get(todo.pop(), ()):
+                if further not in seen:
+                    seen.add(further)
+                    todo.append(further)
+        out[name] = max(map(secrets.sensitivity, seen))
+    return out
+
+
+def test_constants_are_propagated_as_by_brute_force():
+    rng = random.Random(7)
+    names = ["a", "b", "c", "d", "auth_token", "db_password", "size", "key_path", "other"]
+    for _ in range(300):
+        lines, given, passed = [], {}, {}
+        for i in range(rng.randrange(1, 12)):
+            target = rng.choice(names)
+            given.setdefault(target, [])
+            if rng.random() < 0.5:
+                value = f"Zx8{i}kdlPQ0x7aa{rng.randrange(10, 99)}"
+                given[target].append(value)
+                lines.append(f'{target} = "{value}"')
+            else:
+                source = rng.choice(names)
+                passed.setdefault(source, set()).add(target)
+                lines.append(f"{target} = {source}")
+        reach = brute_reach(given, passed)
+        want = {v for n, values in given.items() for v in values if reach[n] > 0 and reach[n] + secrets.shape(v) >= secrets.THRESHOLD}
+        text = "\n".join(lines)
+        assert {x for k, x in kinds(text) if k == "literal"} == want, text
+
+
+def test_very_long_texts_take_nearly_linear_time():
+    import time
+
+    chain = "\n".join(f"n{i} = n{i - 1}\nn{i} = 'Zx81kdlPQ0x7a{i}'" for i in range(1, 40_000))
+    for text in ("a='" + "\\'" * 500_000, "a='" * 300_000, "x = \"" + "\\\"'" * 300_000, chain, "b'" * 300_000, "a=(" * 300_000, "a: b= " * 100_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20, text[:20]
