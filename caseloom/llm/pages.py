@@ -4,12 +4,14 @@ A page is read as a stream of tags and text, tolerant of missing end tags.  Its
 text falls into blocks; every block has the path of block-level tags (with
 class and id) from the root to it.  For each path the text length and the
 punctuation of all its blocks are added up and divided by their number.  Both
-ratios are smoothed over similar paths (a Gaussian of the edit distance between
-paths), fused by their product, and paths above a share of the scores' standard
-deviation are content; headings, and lists, tables and the like whatever their
-score, go with the content of their container, as does all else in an article.  Paths
-through elements that by name, class, id or role are menus, page headers,
-footers, sidebars, notices, adverts, forms or comments have no score.
+ratios are smoothed over similar paths (a Gaussian of the steps by which two
+paths differ beyond what they share) and fused by their product; a path below
+an element whose class, id or role names something beside the content counts
+for a share of it only.  Paths from LAMBDA of the mean score on, weighted by
+text, are content.  Headings, lists, tables and the like go with the content
+of their container whatever their score, as does all else in an article, and
+an h1 with content close by.  Elements that are by definition menus, footers,
+sidebars, forms, dialogs or page headers hold none.
 
 Cases: a null, empty or text-free page gives an empty text; a page without
 tags is one block; unclosed comments, tags and scripts run to the end; very
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Width of the smoothing, in edits of a path, and the share of the standard deviation that content exceeds.
-SIGMA, LAMBDA = 0.8, 0.25
-#: Edits beyond which a weight (under 1e-16) counts as nothing.
+#: Width of the smoothing, in steps of a path; the share of the mean score that content has; what a score counts below a name of BAD_PARTS.
+SIGMA, LAMBDA, WEAK = 0.8, 0.5, 0.2
+#: Steps beyond which a weight (under 1e-16) counts as nothing.
 NEAR = 7
 
 #: Elements by their role in HTML.
@@ -44,15 +46,16 @@ PARTS = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th bl
 NOT_CONTENT = frozenset("nav footer aside form head menu dialog".split())
 #: Elements that a start tag of the first closes, up to the second.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-#: Parts of class names, ids and roles of what is not content.
+#: Parts of class names, ids and roles of what is beside the content, and parts that say otherwise of a name.
 BAD_PARTS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal overlay alert comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar contentinfo complementary dialog".split()
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal overlay alert comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup login search pagination pager toolbar contentinfo complementary dialog masthead logo branding copyright".split()
 )
+GOOD_PARTS = frozenset("article body content entry main post story text work".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿…、。，！？；：]")
 
@@ -112,10 +115,10 @@ class Paths:
     """The distinct paths of a page by number; a parent's number is less than its child's, the empty path is 0."""
 
     def __init__(self) -> None:
-        self.parent, self.name, self.depth, self.article = [0], [""], [0], [False]
+        self.parent, self.name, self.depth, self.article, self.weak = [0], [""], [0], [False], [False]
         self._known: dict[tuple[int, str], int] = {}
 
-    def step(self, parent: int, name: str, marks: list[str], article: bool) -> int:
+    def step(self, parent: int, name: str, marks: list[str], article: bool, weak: bool) -> int:
         key = (parent, ".".join([name, *marks]))
         if key not in self._known:
             self._known[key] = len(self.parent)
@@ -123,24 +126,32 @@ class Paths:
             self.name.append(name)
             self.depth.append(self.depth[parent] + 1)
             self.article.append(article)
+            self.weak.append(weak or self.weak[parent])
         return self._known[key]
 
 
+def _beside(value: str, article: bool) -> bool:
+    """Whether a class, id or role names something beside the content."""
+    for word in value.split():
+        parts = {p.lower() for p in _PART.findall(word)}
+        if not parts & GOOD_PARTS and (parts & BAD_PARTS or "header" in parts and not article):
+            return True
+    return False
+
+
 def _opened(name: str, attributes: str, parent: Node, paths: Paths) -> Node:
-    marks, parts = [], set()
+    marks, weak = [], False
+    content, article = parent.content, parent.article or name in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         value = m[2] or m[3] or m[4] or ""
-        parts.update(p.lower() for p in _PART.findall(value))
+        weak = weak or name not in ("html", "body", "article", "main") and _beside(value, article)
         if m[1].lower() != "role":
             marks.append(re.sub(r"\d+", "#", value))
-    content, article = parent.content, parent.article or name in ("article", "main")
     if name in NOT_CONTENT or name == "header" and not article:
         content = False
-    elif name not in ("html", "body", "article", "main") and (parts & BAD_PARTS or "header" in parts and not article):
-        content = False
     if name not in BLOCKS:
         return Node(name, parent.path, parent.block, content, article)
-    return Node(name, paths.step(parent.path, name, marks, article), name, content, article)
+    return Node(name, paths.step(parent.path, name, marks, article, weak), name, content, article)
 
 
 def blocks(html: str) -> tuple[Paths, list[tuple[int, bool, str, str]]]:
@@ -230,8 +241,8 @@ def _smoothed(paths: Paths, ratio: dict[int, tuple[float, float]]) -> dict[int,
     return out
 
 
-def content_paths(paths: Paths, found: list[tuple[int, bool, str, str]]) -> set[int]:
-    """The paths whose blocks are content."""
+def scores(paths: Paths, found: list[tuple[int, bool, str, str]]) -> dict[int, tuple[float, float]]:
+    """(fused score, text length) of each path that has blocks which can be content."""
     sums: dict[int, list[float]] = {}
     for path, content, _, text in found:
         if content:
@@ -239,19 +250,26 @@ def content_paths(paths: Paths, found: list[tuple[int, bool, str, str]]) -> set[
             s[0] += len(text)
             s[1] += len(_PUNCTUATION.findall(text))
             s[2] += 1
-    if not sums:
-        return set()
     ratio = {p: (s[0] / s[2], (1 + s[1]) / s[2]) for p, s in sums.items()}
-    score = {p: math.log1p(length) * math.log1p(marks) for p, (length, marks) in _smoothed(paths, ratio).items()}
-    mean = sum(score.values()) / len(score)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in score.values()) / len(score))
-    least = min(LAMBDA * spread, max(score.values()))
-    kept = {p for p in score if score[p] >= least and score[p] > 0}
+    return {p: ((WEAK if paths.weak[p] else 1.0) * math.log1p(length) * math.log1p(marks), sums[p][0]) for p, (length, marks) in _smoothed(paths, ratio).items()}
+
+
+def content_paths(paths: Paths, found: list[tuple[int, bool, str, str]]) -> set[int]:
+    """The paths whose blocks are content."""
+    score = scores(paths, found)
+    if not score:
+        return set()
+    least = LAMBDA * sum(s * n for s, n in score.values()) / sum(n for _, n in score.values())
+    kept = {p for p, (s, _) in score.items() if s >= least}
     inside = {paths.parent[p] for p in kept}
+    around = inside | {paths.parent[p] for p in inside}
     part = [False] * len(paths.parent)  # whether a path goes with a container of content
     for p in range(1, len(part)):
         up, name = paths.parent[p], paths.name[p]
+        if paths.weak[p] and not paths.weak[up]:
+            continue
         part[p] = (up in inside or part[up]) and (name in PARTS or paths.article[up]) or name in HEADINGS and up in inside
+        part[p] = part[p] or name == "h1" and not paths.weak[p] and (up in around or paths.parent[up] in around)
     return kept | {p for p in score if part[p]}
 
 

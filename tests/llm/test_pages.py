@@ -84,3 +84,72 @@ def test_many_open_elements_and_paths_lose_nothing():
     assert len({path in kept for path, *_ in found}) == 1
     deep, found = pages.blocks("<div>" * 70 + "a<div>b")
     assert len({path for path, *_ in found}) == 2
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story, which is long enough, has commas, and comes to an end.</p>" for i in range(6))
+
+
+def test_ratios_remove_what_no_name_tells():
+    page = f"<body><div class=x1><a>Home</a> <a>About</a></div><div class=x2><div class=x3>{STORY}</div></div><div class=x4>Copyright 2024</div><div class=x5><span>One</span> <span>Two</span></div></body>"
+    got = pages.main_text(page)
+    assert got.count("Paragraph") == 6 and not any(x in got for x in ("Home", "Copyright", "One"))
+
+
+def test_names_are_a_weak_feature():
+    page = f'<body><div class="entry-header"><h1>The title</h1></div><div class="entry-content">{STORY}<div class="related-work"><p>Others have, at length, written on this, and so on, to the end.</p></div></div><div class="related"><p>See also, if you like, this.</p></div></body>'
+    got = pages.main_text(page)
+    assert got.startswith("The title") and "Others have" in got and "See also" not in got
+    only = pages.main_text(f'<body><div class="widget">{STORY}</div></body>')
+    assert only.count("Paragraph") == 6
+
+
+def brute_scores(paths, found):
+    """The scores from their definition: all pairs of paths, steps from the root."""
+    import math
+
+    def steps(p):
+        out = [p]
+        while p:
+            p = paths.parent[p]
+            out.append(p)
+        return out[::-1]
+
+    held = {}
+    for path, content, _, text in found:
+        if content:
+            held.setdefault(path, []).append(text)
+    ratio = {p: (sum(map(len, t)) / len(t), (1 + sum(c in ".,;:!?¡¿…、。，！？；：" for x in t for c in x)) / len(t)) for p, t in held.items()}
+    out = {}
+    for p in ratio:
+        total = [0.0, 0.0, 0.0]
+        for q in ratio:
+            a, b = steps(p), steps(q)
+            same = sum(x == y for x, y in zip(a, b))
+            far = max(len(a), len(b)) - same
+            if far <= pages.NEAR:
+                w = math.exp(-((far / pages.SIGMA) ** 2) / 2)
+                total = [total[0] + w, total[1] + w * ratio[q][0], total[2] + w * ratio[q][1]]
+        weak = any(paths.weak[x] for x in steps(p))
+        out[p] = (pages.WEAK if weak else 1.0) * math.log1p(total[1] / total[0]) * math.log1p(total[2] / total[0])
+    return out
+
+
+def test_scores_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        html = "".join(rng.choice(["<div>", "<div class=a>", "<div class=ad>", "</div>", "</div>", "<p>", "<section>", "</section>", "word, and more. ", "x ", "<ul><li>"]) for _ in range(rng.randrange(120)))
+        paths, found = pages.blocks(html)
+        got, want = pages.scores(paths, found), brute_scores(paths, found)
+        assert got.keys() == want.keys() and all(abs(got[p][0] - want[p]) < 1e-6 * max(1.0, want[p]) for p in want)
+
+
+def test_the_ratio_step_removes_blocks_of_the_test_pages():
+    import pyarrow.parquet as pq
+
+    gone = shown = 0
+    for html in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        paths, found = pages.blocks(html or "")
+        kept = pages.content_paths(paths, found)
+        gone += sum(content and path not in kept for path, content, *_ in found)
+        shown += sum(content and path in kept for path, content, *_ in found)
+    assert gone > 0 and shown > 4 * gone
