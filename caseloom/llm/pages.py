@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Width of the smoothing, in steps of a path; the share of the mean score that content has; what a score counts below a name of BAD_PARTS.
-SIGMA, LAMBDA, WEAK = 0.8, 0.5, 0.2
+SIGMA, LAMBDA, WEAK = 0.8, 0.5, 0.1
 #: Steps beyond which a weight (under 1e-16) counts as nothing.
 NEAR = 7
 
