@@ -6,8 +6,9 @@ class and id) from the root to it.  For each path the text length and the
 punctuation of all its blocks are added up and divided by their number.  Both
 ratios are smoothed over similar paths (a Gaussian of the steps by which two
 paths differ beyond what they share) and fused by their product; a path below
-an element whose class, id or role names something beside the content counts
-for a share of it only.  Paths from LAMBDA of the mean score on, weighted by
+an element whose class, id or role names something beside the content, or
+beside the article element of a page that has one, counts for a share of it
+only.  Paths from LAMBDA of the mean score on, weighted by
 text, are content.  Headings, lists, tables and the like go with the content
 of their container whatever their score, as does all else in an article, and
 an h1 with content close by.  Elements that are by definition menus, footers,
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Width of the smoothing, in steps of a path; the share of the mean score that content has; what a score counts below a name of BAD_PARTS.
+#: Width of the smoothing, in steps of a path; the share of the mean score that content has; what a score counts below a name of BAD_PARTS, or beside the article element.
 SIGMA, LAMBDA, WEAK = 0.8, 0.5, 0.1
 #: Steps beyond which a weight (under 1e-16) counts as nothing.
 NEAR = 7
@@ -251,7 +252,9 @@ def scores(paths: Paths, found: list[tuple[int, bool, str, str]]) -> dict[int, t
             s[1] += len(_PUNCTUATION.findall(text))
             s[2] += 1
     ratio = {p: (s[0] / s[2], (1 + s[1]) / s[2]) for p, s in sums.items()}
-    return {p: ((WEAK if paths.weak[p] else 1.0) * math.log1p(length) * math.log1p(marks), sums[p][0]) for p, (length, marks) in _smoothed(paths, ratio).items()}
+    marked = any(paths.article[p] for p in sums)
+    prior = {p: (WEAK if paths.weak[p] else 1.0) * (WEAK if marked and not paths.article[p] else 1.0) for p in sums}
+    return {p: (prior[p] * math.log1p(length) * math.log1p(marks), sums[p][0]) for p, (length, marks) in _smoothed(paths, ratio).items()}
 
 
 def content_paths(paths: Paths, found: list[tuple[int, bool, str, str]]) -> set[int]:

@@ -129,15 +129,15 @@ def brute_scores(paths, found):
             if far <= pages.NEAR:
                 w = math.exp(-((far / pages.SIGMA) ** 2) / 2)
                 total = [total[0] + w, total[1] + w * ratio[q][0], total[2] + w * ratio[q][1]]
-        weak = any(paths.weak[x] for x in steps(p))
-        out[p] = (pages.WEAK if weak else 1.0) * math.log1p(total[1] / total[0]) * math.log1p(total[2] / total[0])
+        weak = any(paths.weak[x] for x in steps(p)) + (any(paths.article[q] for q in ratio) and not paths.article[p])
+        out[p] = pages.WEAK**weak * math.log1p(total[1] / total[0]) * math.log1p(total[2] / total[0])
     return out
 
 
 def test_scores_match_brute_force():
     rng = random.Random(2)
     for _ in range(200):
-        html = "".join(rng.choice(["<div>", "<div class=a>", "<div class=ad>", "</div>", "</div>", "<p>", "<section>", "</section>", "word, and more. ", "x ", "<ul><li>"]) for _ in range(rng.randrange(120)))
+        html = "".join(rng.choice(["<div>", "<div class=a>", "<div class=ad>", "</div>", "</div>", "<p>", "<section>", "</section>", "<article>", "</article>", "word, and more. ", "x ", "<ul><li>"]) for _ in range(rng.randrange(120)))
         paths, found = pages.blocks(html)
         got, want = pages.scores(paths, found), brute_scores(paths, found)
         assert got.keys() == want.keys() and all(abs(got[p][0] - want[p]) < 1e-6 * max(1.0, want[p]) for p in want)
