@@ -11,10 +11,13 @@ themselves.  An item of fewer than 10 words is one window: for each such length
 the whole item's hash is the fingerprint and every position of a document is
 looked up.
 
-The test side is cut into blocks of bounded size; every block is sent to all
-executors and the documents pass through the blocks one after another.  So any
-number of items works, no row of documents is shuffled, and what is sent is
-bounded by BLOCK_WORDS.
+Both sides are fingerprinted in the executors.  Test sides of at most
+BROADCAST_WORDS words, which are counted first, are sent to all executors, and
+no row of documents is shuffled.  Beyond, the fingerprints of both sides are
+shuffled and joined, equal items once; only documents and items with a common
+fingerprint are brought together to be confirmed.  A fingerprint that is common
+among documents meets each distinct item that has it; such a join is one that
+Spark splits where it is skewed.  Both ways give the same rows.
 
 Cases: a null or empty text, or one of punctuation only, has no words, no hits
 and is not contaminated; an item without words never occurs; repeated items
@@ -31,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.blocks import sliced, utf8
+from caseloom.scratch import save
 
-#: Words of items that one pass takes; about 60 bytes of broadcast each.
-BLOCK_WORDS = 400_000
+#: Words and ids of items up to which the test side is broadcast; under 40 bytes each.
+BROADCAST_WORDS = 1_000_000
 #: Bytes of text handled at once in a worker.
 CHUNK = 1 << 21
 
@@ -107,98 +111,83 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
+def _prints(hashes: np.ndarray, k: int, w: int, lengths: tuple[int, ...] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, fingerprints, positions) of a run of words; n is 0 for winnowed k-grams, else the length of a whole item.
+
+    lengths: the lengths to look for at every position of a document; None for
+    an item, which has either kind.
+    """
+    if lengths is None and 0 < len(hashes) < k + w - 1:
+        yield len(hashes), gram_hashes(hashes, len(hashes)), np.zeros(1, np.int64)
+    elif len(hashes) >= k + w - 1:
+        grams = gram_hashes(hashes, k)
+        kept = winnow(grams, w)
+        yield 0, grams[kept], kept
+    for n in lengths or ():
+        grams = gram_hashes(hashes, n)
+        yield n, grams, np.arange(len(grams))
+
+
+def _confirmed(hits: list[tuple[int, int]], own: list[bytes], word_at, size: int, span: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs of words that a document shares with an item, from (place, position) of equal fingerprints.
+
+    Each hit is extended along its diagonal while the words agree; a run counts
+    if it has `span` words, or all of a shorter item.
+    """
+    found, done = [], {}
+    for place, at in sorted(hits):
+        if done.get(place - at, -1) > place:
+            continue
+        a, b = place, place
+        while a > 0 and a > place - at and word_at(a - 1) == own[a - 1 - place + at]:
+            a -= 1
+        while b < size and b - place + at < len(own) and word_at(b) == own[b - place + at]:
+            b += 1
+        done[place - at] = max(b, place + 1)
+        if b - a >= min(span, len(own)):
+            found.append((a, b))
+    return found
+
+
 class TestSide:
-    """Fingerprints of a block of items."""
+    """The items and their fingerprints, for documents that pass by."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[object, bytes]], k: int, w: int):
-        self.k, self.w, self.span = k, w, k + w - 1
-        self.ids: list[object] = []
-        self.words: list[list[bytes]] = []
-        whole: dict[int, list[tuple[int, int]]] = {}
-        kept: list[tuple[int, int, int]] = []
-        for item_id, text in items:
-            low, starts, ends = words_of(np.frombuffer(text, np.uint8))
-            if not len(starts):
-                continue
-            i = len(self.ids)
-            self.ids.append(item_id)
-            self.words.append([low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())])
-            hashes = word_hashes(low, starts, ends)
-            if len(starts) < self.span:
-                whole.setdefault(len(starts), []).append((int(gram_hashes(hashes, len(starts))[0]), i))
-            else:
-                grams = gram_hashes(hashes, k)
-                kept += [(int(grams[p]), i, int(p)) for p in winnow(grams, w)]
-        self.grams = self._sorted(kept)
-        self.whole = {n: self._sorted([(h, i, 0) for h, i in found]) for n, found in whole.items()}
-
-    @staticmethod
-    def _sorted(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = np.array([r[0] for r in rows], np.uint64)
-        order = np.argsort(h, kind="stable")
-        return h[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order]
-
-    @staticmethod
-    def _join(table: tuple, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place, item, position) of equal fingerprints, by place."""
-        known, items, positions = table
-        if not len(known):
-            return
-        first = np.searchsorted(known, hashes)
-        hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == hashes)
-        last = np.searchsorted(known, hashes[hit], "right")
-        for place, a, b in zip(places[hit].tolist(), first[hit].tolist(), last.tolist()):
-            for j in range(a, b):
-                yield place, int(items[j]), int(positions[j])
+    def __init__(self, k: int, w: int, ids: list[list[str]], texts: list[bytes], prints: list[tuple[int, int, int, int]]):
+        """prints: (n, fingerprint, item, position)."""
+        self.k, self.w, self.ids, self.texts = k, w, ids, texts
+        self.own: dict[int, list[bytes]] = {}
+        columns = np.array(prints, np.int64).reshape(-1, 4)
+        columns = columns[np.argsort(columns[:, 1].astype(np.uint64), kind="stable")]
+        self.tables = {int(n): (rows[:, 1].astype(np.uint64), rows[:, 2], rows[:, 3]) for n in np.unique(columns[:, 0]) for rows in [columns[columns[:, 0] == n]]}
+        self.lengths = tuple(n for n in self.tables if n)
+
+    def words(self, item: int) -> list[bytes]:
+        if item not in self.own:
+            self.own[item] = _words(self.texts[item])
+        return self.own[item]
 
     def spans(self, hashes: np.ndarray, word_at) -> list[tuple[int, int, int]]:
         """(first, end, item) of the shared runs in one run of words; word_at(i) gives word i's bytes."""
-        found: list[tuple[int, int, int]] = []
-        grams = gram_hashes(hashes, self.k) if len(hashes) >= self.span and len(self.grams[0]) else np.zeros(0, np.uint64)
-        kept = winnow(grams, self.w)
-        done: dict[tuple[int, int], int] = {}
-        for place, item, at in self._join(self.grams, grams[kept], kept):
-            slide = (item, place - at)
-            if done.get(slide, -1) > place:
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for n, prints, places in _prints(hashes, self.k, self.w, self.lengths):
+            known, items, positions = self.tables.get(n, (np.zeros(0, np.uint64),) * 3)
+            if not len(known):
                 continue
-            own = self.words[item]
-            a, b = place, place
-            while a > 0 and a > place - at and word_at(a - 1) == own[a - 1 - place + at]:
-                a -= 1
-            while b < len(hashes) and b - place + at < len(own) and word_at(b) == own[b - place + at]:
-                b += 1
-            done[slide] = max(b, place + 1)
-            if b - a >= self.span:
-                found.append((a, b, item))
-        for n, table in self.whole.items():
-            grams = gram_hashes(hashes, n)
-            for place, item, _ in self._join(table, grams, np.arange(len(grams))):
-                if all(word_at(place + j) == word for j, word in enumerate(self.words[item])):
-                    found.append((place, place + n, item))
-        return found
-
-
-def _block_pass(docs: DataFrame, side) -> DataFrame:
-    """Adds one block's hits to the columns n_words, spans (flat, in pairs) and items."""
+            first = np.searchsorted(known, prints)
+            hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == prints)
+            last = np.searchsorted(known, prints[hit], "right")
+            for place, a, b in zip(places[hit].tolist(), first[hit].tolist(), last.tolist()):
+                for j in range(a, b):
+                    hits.setdefault(int(items[j]), []).append((place, int(positions[j])))
+        span = self.k + self.w - 1
+        return [(a, b, item) for item, found in hits.items() for a, b in _confirmed(found, self.words(item), word_at, len(hashes), span)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: TestSide = side.value
-        for batch in sliced(batches, 1, CHUNK):
-            low, starts, ends, firsts = _cut(batch.column(1))
-            hashes = word_hashes(low, starts, ends)
-            spans, items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for i, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist())):
-                for x, y, item in block.spans(hashes[a:b], _words_from(low, starts[a:b], ends[a:b])):
-                    spans[i] += [x, y]
-                    items[i].append(block.ids[item])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(firsts)), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"]
-            )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, text string, n_words long, spans array<bigint>, items array<string>")
+def _words(text: bytes) -> list[bytes]:
+    low, starts, ends = words_of(np.frombuffer(text, np.uint8))
+    return [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,21 +209,102 @@ def _with_breaks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, k: int, w: int, block_words: int) -> Iterator[TestSide]:
-    """The test side in blocks of at most block_words words, or one item, streamed through the driver one at a time."""
-    held: list[tuple[str, bytes]] = []
-    total = 0
-    rows = items.select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    for item_id, text in rows.toLocalIterator(prefetchPartitions=False):
-        raw = text.encode()
-        size = len(words_of(np.frombuffer(raw, np.uint8))[1])
-        if held and total + size > block_words:
-            yield TestSide(held, k, w)
-            held, total = [], 0
-        held.append(("" if item_id is None else item_id, raw))
-        total += size
-    if held:
-        yield TestSide(held, k, w)
+def _printed(texts: DataFrame, k: int, w: int, lengths: tuple[int, ...] | None) -> DataFrame:
+    """(n, h, no, at): the fingerprints of rows (no, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1, CHUNK):
+            low, starts, ends, firsts = _cut(batch.column(1))
+            hashes = word_hashes(low, starts, ends)
+            for no, a, b in zip(batch.column(0).to_pylist(), firsts[:-1].tolist(), firsts[1:].tolist()):
+                for n, prints, places in _prints(hashes[a:b], k, w, lengths):
+                    size = len(prints)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, n, np.int32)), pa.array(prints.view(np.int64)), pa.array(np.full(size, no, np.int64)), pa.array(places.astype(np.int64))], names=["n", "h", "no", "at"])
+
+    return texts.select("no", "text").mapInArrow(run, "n int, h long, no long, at long")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(id, text) with the column n_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1, CHUNK):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(_cut(batch.column(1))[3]).astype(np.int64))], names=["id", "text", "n_words"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text string, n_words long")
+
+
+class Items:
+    """Distinct item texts with numbers, the ids of each, and their fingerprints, in the shared folder."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, k: int, w: int):
+        self.k, self.w = k, w
+        named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        # numbers hold once written
+        self.texts = save(_counted(named.select(F.lit(0).alias("id"), "text").distinct()).where("n_words > 0").select(F.monotonically_increasing_id().alias("no"), "text", "n_words"), "item_texts")
+        self.ids = save(named.join(self.texts, "text").select("no", "id").distinct(), "item_ids")
+        self.prints = save(_printed(self.texts, k, w, None), "item_prints")
+
+    def size(self) -> int:
+        """Words of the distinct texts and ids."""
+        return (self.texts.agg(F.sum("n_words")).first()[0] or 0) + self.ids.count()
+
+    def side(self) -> TestSide:
+        """All in memory; for items of a checked size."""
+        texts = self.texts.select("no", "text").collect()
+        order = {r.no: i for i, r in enumerate(texts)}
+        ids: list[list[str]] = [[] for _ in texts]
+        for r in self.ids.collect():
+            ids[order[r.no]].append(r.id)
+        prints = [(r.n, r.h, order[r.no], r["at"]) for r in self.prints.collect()]
+        return TestSide(self.k, self.w, ids, [r.text.encode() for r in texts], prints)
+
+
+def _passed_by(docs: DataFrame, side) -> DataFrame:
+    """(id, text, n_words, spans, items) of rows (id, text), by a test side in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: TestSide = side.value
+        for batch in sliced(batches, 1, CHUNK):
+            low, starts, ends, firsts = _cut(batch.column(1))
+            hashes = word_hashes(low, starts, ends)
+            found = [held.spans(hashes[a:b], _words_from(low, starts[a:b], ends[a:b])) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+            spans = pa.array([[x for a, b, _ in row for x in (a, b)] for row in found], pa.list_(pa.int64()))
+            items = pa.array([sorted({x for i in {i for *_, i in row} for x in held.ids[i]}) for row in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(firsts).astype(np.int64)), spans, items], names=["id", "text", "n_words", "spans", "items"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text string, n_words long, spans array<bigint>, items array<string>")
+
+
+def _joined_hits(texts: DataFrame, items: Items) -> DataFrame:
+    """(no, spans, items) of those rows (no, text) that share a run with an item, by a join of fingerprints."""
+    lengths = tuple(sorted(r.n for r in items.prints.where("n > 0").select("n").distinct().collect()))  # fewer than k + w - 1
+    span = items.k + items.w - 1
+    met = _printed(texts, items.k, items.w, lengths).join(items.prints.select("n", "h", F.col("no").alias("item"), F.col("at").alias("place")), ["n", "h"])
+    hits = met.groupBy("no", "item").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
+    both = hits.join(texts.select("no", "text"), "no").join(items.texts.select(F.col("no").alias("item"), F.col("text").alias("own")), "item").select("no", "item", "text", "own", "hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = _words((row["text"] or "").encode())
+                runs = _confirmed([(h["at"], h["place"]) for h in row["hits"]], _words(row["own"].encode()), words.__getitem__, len(words), span)
+                if runs:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["no"]]), pa.array([row["item"]]), pa.array([[x for r in runs for x in r]], pa.list_(pa.int64()))], names=["no", "item", "spans"])
+
+    found = save(both.mapInArrow(run, "no long, item long, spans array<bigint>"), "runs")
+    ids = found.join(items.ids.toDF("item", "id"), "item").groupBy("no").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    return found.groupBy("no").agg(F.flatten(F.collect_list("spans")).alias("spans")).join(ids, "no")
+
+
+def _hits(docs: DataFrame, items: Items, broadcast_words: int) -> DataFrame:
+    """(id, text, n_words, spans, items) of rows (id, text)."""
+    if items.size() <= broadcast_words:
+        return _passed_by(docs, docs.sparkSession.sparkContext.broadcast(items.side()))
+    texts = save(_counted(docs).withColumn("no", F.monotonically_increasing_id()), "documents")
+    found = save(_joined_hits(texts, items), "hits")
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    return texts.join(found, "no", "left").select("id", "text", "n_words", F.coalesce("spans", none("bigint")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
 
 
 def contamination(
@@ -246,7 +316,7 @@ def contamination(
     item_text: str = "text",
     k: int = 5,
     w: int = 6,
-    block_words: int = BLOCK_WORDS,
+    broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """(id, text, n_words, spans, items) for each row of docs.
 
@@ -254,29 +324,28 @@ def contamination(
     window, as found (they may overlap); items: ids as strings of the items
     that have an occurring window, sorted, each once.
     """
-    spark = docs.sparkSession
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    sides = [spark.sparkContext.broadcast(block) for block in item_blocks(items, item_id, item_text, k, w, block_words)]
-    for side in sides or [spark.sparkContext.broadcast(TestSide([], k, w))]:
-        found = _block_pass(found, side)
-    return found
+    return _hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), Items(items, item_id, item_text, k, w), broadcast_words)
+
 
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, w: int = 6, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of docs, with all columns, whose text holds no window of an item.
 
-def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, w: int = 6, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no window of an item."""
-    at = docs.columns.index(text_col)
-    for block in item_blocks(items, item_id, item_text, k, w, block_words):
-        docs = docs.mapInArrow(_filter_by(docs.sparkSession.sparkContext.broadcast(block), at), docs.schema)
-    return docs
+    Null and empty texts stay, as do repeated rows; columns of any name go through.
+    """
+    known = Items(items, item_id, item_text, k, w)
+    if known.size() <= broadcast_words:
+        return docs.mapInArrow(_filter_by(docs.sparkSession.sparkContext.broadcast(known.side()), docs.columns.index(text_col)), docs.schema)
+    whole = docs.select(F.struct(*docs.columns).alias("id"), F.col(text_col).alias("text"))
+    return _hits(whole, known, broadcast_words).where("size(spans) = 0").select("id.*")
 
 
 def _filter_by(side, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: TestSide = side.value
+        held: TestSide = side.value
         for batch in sliced(batches, at, CHUNK):
             low, starts, ends, firsts = _cut(batch.column(at))
             hashes = word_hashes(low, starts, ends)
-            clean = [not block.spans(hashes[a:b], _words_from(low, starts[a:b], ends[a:b])) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+            clean = [not held.spans(hashes[a:b], _words_from(low, starts[a:b], ends[a:b])) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run

@@ -42,15 +42,36 @@ def corpus(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("block_words", [winnow.BLOCK_WORDS, 60])
-def test_matches_brute_force(spark, block_words):
+@pytest.mark.parametrize("broadcast_words", [winnow.BROADCAST_WORDS, 0])
+def test_matches_brute_force(spark, broadcast_words):
     docs, items = corpus(4)
     rows = spark.createDataFrame([(i, t, "n", [1]) for i, t in enumerate(docs + docs[:9])], "doc_id long, text string, n_words string, spans array<int>")
     tests = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.id: (r.n_words, r.n, list(r["items"])) for r in winnow.contamination(rows, tests, block_words=block_words).withColumn("n", winnow.n_hit()).collect()}
+    got = {r.id: (r.n_words, r.n, list(r["items"])) for r in winnow.contamination(rows, tests, broadcast_words=broadcast_words).withColumn("n", winnow.n_hit()).collect()}
     assert got == {i: brute(t, items) for i, t in enumerate(docs + docs[:9])}
 
 
+@pytest.mark.parametrize("broadcast_words", [winnow.BROADCAST_WORDS, 0])
+def test_clean_documents_stay_with_all_columns(spark, broadcast_words):
+    docs, items = corpus(5)
+    table = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(docs + docs[:9])], "n_words long, text string, id int, spans string")
+    tests = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    got = winnow.without_contaminated(table, tests, broadcast_words=broadcast_words)
+    assert got.columns == table.columns
+    assert sorted(r.id for r in got.collect()) == [i for i, t in enumerate(docs + docs[:9]) if not brute(t, items)[1]]
+    assert winnow.without_contaminated(table.limit(0), tests.limit(0), broadcast_words=broadcast_words).count() == 0
+
+
+def test_repeated_items_and_hot_passages_by_the_join(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = [(i, passage if i % 2 else passage + f" more{i} and others here to come") for i in range(40)]
+    docs = [f"own{i} {passage} tail{i}" if i % 3 else f"nothing {i}" for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r.id: (r.n_words, r.n, list(r["items"])) for r in winnow.contamination(rows, spark.createDataFrame(items, "item_id long, text string"), broadcast_words=0).withColumn("n", winnow.n_hit()).collect()}
+    want = {passage_in: brute(docs[passage_in], items) for passage_in in (0, 1)}
+    assert all(found[i] == want[min(i % 3, 1)] for i in range(300))
+
+
 def test_guarantee_of_winnowing():
     import numpy as np
 
