@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.blocks import sliced, utf8
+from caseloom.scratch import discard, save
 
 BLOCK = 4096
 RATE = 8000
 #: Order, coefficient bits and shift of the encoder's linear predictor.
 ORDER, PRECISION, SHIFT = 8, 11, 9
+#: Parts of a corpus whose media are stored one after another when only digests are wanted.
+SHARES = 3
 #: Bytes of payload handled at once in a worker.
 CHUNK = 1 << 21
 #: Fixed values of the format: the fixed predictors' coefficients by order.
@@ -509,15 +512,21 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
 
 
+def _blocks(media: list[bytes]) -> Iterator[tuple[int, _Stream, list[tuple[int, int, bytes]]]]:
+    """(place, stream, PCM blocks) of each stream; a block has the sample where a seek lands, its samples, and their bytes."""
+    for i, (stream, frames) in enumerate(decode_streams(media)):
+        yield i, stream, [(first, x.shape[1], pcm(stream, x)) for first, x in frames]
+
+
 def pcm_blocks(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """(id, block, first_sample, n_samples, pcm): a row for each frame; first_sample is where a seek lands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1, CHUNK):
-            known = [(i, m) for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if m is not None]
-            rows = []
-            for (key, _), (stream, frames) in zip(known, decode_streams([m for _, m in known])):
-                rows += [(key, b, first, x.shape[1], pcm(stream, x)) for b, (first, x) in enumerate(frames)]
+            known = batch.filter(batch.column(1).is_valid())
+            keys, rows = known.column(0).to_pylist(), []
+            for i, _, found in _blocks(known.column(1).to_pylist()):
+                rows += [(keys[i], b, *block) for b, block in enumerate(found)]
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -533,12 +542,15 @@ DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byt
 
 def _digest_rows(media: list[bytes]) -> list[tuple]:
     rows = []
-    for m, (stream, frames) in zip(media, decode_streams(media)):
-        raw = b"".join(pcm(stream, x) for _, x in frames)
+    for i, stream, found in _blocks(media):
+        starts = np.cumsum([0] + [n for _, n, _ in found])
+        if [first for first, *_ in found] != starts[:-1].tolist():
+            raise ValueError("the blocks' sample offsets have gaps")
+        raw = b"".join(x for *_, x in found)
         x = np.frombuffer(raw, np.uint8).astype(np.int64) - 128
         crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-        text = f"rate={stream.rate};frames={len(frames)};mean={x.mean() if len(x) else 0:.6f};power={(x * x).mean() if len(x) else 0:.6f};crossings={crossings}"
-        rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(m), hashlib.sha256(m).hexdigest(), text))
+        text = f"rate={stream.rate};frames={len(found)};mean={x.mean() if len(x) else 0:.6f};power={(x * x).mean() if len(x) else 0:.6f};crossings={crossings}"
+        rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), text))
     return rows
 
 
@@ -548,35 +560,35 @@ def _digest_batch(fore: list[pa.Array], names: list[str], rows: list[tuple]) ->
     return pa.RecordBatch.from_arrays(fore + columns, names=names + [x.split()[0] for x in DIGESTS.split(", ")])
 
 
-def digests(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """(id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each decoded stream.
+def digests(df: DataFrame, id_col: str = "id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kept columns, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each stream, from its PCM blocks.
 
     feature: sample rate, frames, mean level, mean power, and how often the
     signal crosses its middle.  Null media give no row.
     """
+    names = ["id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1, CHUNK):
-            known = batch.filter(batch.column(1).is_valid())
-            yield _digest_batch([known.column(0)], ["id"], _digest_rows(known.column(1).to_pylist()))
+        for batch in sliced(batches, len(names), CHUNK):
+            known = batch.filter(batch.column(len(names)).is_valid())
+            yield _digest_batch(known.columns[:-1], names, _digest_rows(known.column(len(names)).to_pylist()))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, {DIGESTS}")
+    kinds = [f"`{n}` {df.schema[c].dataType.simpleString()}" for n, c in zip(names, [id_col, *keep])]
+    return df.select(F.col(id_col).alias("id"), *keep, F.col(media_col).alias("media")).mapInArrow(run, ", ".join([*kinds, DIGESTS]))
 
 
-def stored_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digests(encode_column(df)) with n_bytes, in one pass of each block of rows through one worker.
+def stored_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shares: int = SHARES) -> DataFrame:
+    """n_bytes and the digests of every text's stream, which is written to the shared folder and read back.
 
-    The stored form stays a column of the block: it is made, read back and
-    digested without a second copy of the corpus on disk.
+    The media column is larger than its source, so it is stored in `shares`
+    parts, dealt by a hash of id and text: each is written, read back for its
+    digests, which are written too, and then deleted.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1, CHUNK):
-            data, offsets = utf8(batch.column(1))
-            raw = data.tobytes()
-            media = encode_payloads([payload(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-            yield _digest_batch([batch.column(0), pa.array(np.diff(offsets))], ["id", "n_bytes"], _digest_rows(media))
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, {DIGESTS}")
+    found = None
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    for i in range(shares):
+        media = save(encode_column(rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shares)) == i), "id"), "media", "none")
+        part = save(digests(media, keep=("n_bytes",)), "digests")
+        discard(media)
+        found = part if found is None else found.unionByName(part)
+    return found
