@@ -8,13 +8,14 @@ P(a preferred to b) = sigmoid(strength a - strength b).  The strength below
 which lies the share of 0-labelled rows is the threshold; strengths are mapped
 to (0, 1) so that it falls on `cut`.
 
-The fit sees at most TRAIN_ROWS labelled rows, chosen by a hash of the id, and
+The fit sees at most TRAIN_ROWS labels, chosen by a hash of the id, with at most
+twice as many rows (of repeated ids those whose texts' hashes are least), and
 PAIRS pairs; it runs on the driver and its size doesn't grow with the input.
 Scoring is one pass without a shuffle.
 
 Cases: a null text counts as empty and gets a score like any other; labels that
 are null or without a document are left out; repeated rows and labels count
-each; without rows of both labels every score is 0.5; empty tables give empty
+each; equal scores stay equal, and one on the threshold counts as kept; without rows of both labels every score is 0.5; empty tables give empty
 results; other columns are kept where a column is added, else ignored.
 """
 
@@ -167,6 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def row(column: pd.Series) -> pd.Series:
         return pd.Series(list(matrix(column)))
 
-    got = texts.join(F.broadcast(chosen), "key").select("label", row("text").alias("x")).limit(2 * rows).collect()
+    # repeated ids can give more rows than labels: those of least hash are taken, so reruns agree; equal hashes are equal texts
+    known = texts.join(F.broadcast(chosen), "key").select("label", F.xxhash64("text").alias("h"), row("text").alias("x"))
+    got = known.orderBy("h", "label").limit(2 * rows).collect()
     x = np.array([r.x for r in got], np.float64).reshape(len(got), N_FEATURES)
     return fit(x, np.array([r.label for r in got], np.int64), cut)
