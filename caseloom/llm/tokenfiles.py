@@ -13,12 +13,15 @@ A file holds, in ascending id order of its documents:
   that gives the bytes for each token id.
 
 A reader loads the tail, then only the frames it wants.  Documents are dealt to
-files by ranges of their id, so the order over all files is the order of ids;
-a file's name holds the task attempt, and only the attempts in the manifest
+tasks by ranges of (id, hash of the text, place in the input), so the order
+over all files is the order of ids, and equal or null ids, however many, are
+cut like any others.  There are as many tasks as the input's size asks for, and
+each goes on to a new file after FILE_BYTES, so what a task holds is bounded.
+A file's name holds the task attempt, and only the attempts in the manifest
 count, so lost executors and repeated tasks do no harm.
 
 Cases: a null or empty text is the end id alone; repeated rows and equal ids
-are each written; a null id sorts first and is stored as a flag value; an empty
+are each written, those of one id in the order of their texts' hashes; a null id sorts first and is stored as a flag value; an empty
 table gives no rows; columns other than the two named are ignored.
 """
 
@@ -45,6 +48,10 @@ ID_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
 #: Pieces of each of two generations kept with their ids in a worker.
 PIECES = 400_000
+#: Bytes of input for a task, and of ids after which a task begins a new file.
+TASK_BYTES, FILE_BYTES = 1 << 27, 1 << 28
+#: Tasks of one write, as estimates of a plan's size can be far too high; more bytes than this many tasks share make more files each.
+MOST_TASKS = 200_000
 #: Bytes of text encoded in one step.
 CHUNK = 1 << 22
 
@@ -267,12 +274,14 @@ def write_tokens(
     files: int | None = None,
     level: int = 3,
     width: int | None = None,
+    file_bytes: int = FILE_BYTES,
 ) -> TokenCorpus:
     """Encodes every text, appends end_id, and writes the files.
 
     tokenizer: a tokenizers JSON file that every executor can read.
     path: a new folder that all executors share; the scratch folder if unset.
-    files: how many files; as many as shuffle partitions if unset.
+    files: how many tasks write, with one file each or more; by default as many
+    as shuffle partitions, or more if the input has over TASK_BYTES for each.
     width: bytes for each id; 2 if the vocabulary allows, else 4.
     """
     from tokenizers import Tokenizer
@@ -280,32 +289,46 @@ def write_tokens(
     spark = docs.sparkSession
     folder = path or new_path(spark, "tokens")
     width = width or (2 if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = int(str(docs.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // TASK_BYTES, MOST_TASKS))
+    kinds = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, name = task.partitionId(), f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
-        encoder = end = writer = None
+        part, piece = task.partitionId(), 0
+        encoder = end = writer = name = None
         n_docs = n_ids = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "path": name, "n_docs": n_docs, "n_ids": n_ids}], schema=kinds)
+
         for batch in sliced(batches, 1, CHUNK):
-            if batch.num_rows and writer is None:
-                store, where = _store(name)
-                store.create_dir(where.rpartition("/")[0], recursive=True)
-                writer = Writer(store.open_output_stream(where, compression=None), width, level)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            if texts and encoder is None:
                 encoder = encoder_of(tokenizer, f"<u{width}")
                 end = np.array([end_id], encoder.dtype).tobytes()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts) if texts else ()):
+                if writer is None:
+                    name = f"{folder}/part-{part:06d}-{task.taskAttemptId()}-{piece:04d}.zst"
+                    store, where = _store(name)
+                    store.create_dir(where.rpartition("/")[0], recursive=True)
+                    writer, n_docs, n_ids = Writer(store.open_output_stream(where, compression=None), width, level), 0, 0
                 writer.add(doc_id, ids + end)
                 n_docs += 1
                 n_ids += len(ids) // width + 1
+                if n_ids * width >= file_bytes:
+                    writer.close()
+                    yield row()
+                    writer, piece = None, piece + 1
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield row()
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(files, "id", "h", "n").sortWithinPartitions("id", "h", "n").select("id", "text")
     # one row for each file that was written
-    manifest = sorted(tuple(r) for r in dealt.mapInArrow(run, "part int, path string, n_docs long, n_ids long").collect())
-    return TokenCorpus(spark, [(i, *row[1:]) for i, row in enumerate(manifest)])
+    manifest = sorted(tuple(r) for r in dealt.mapInArrow(run, "part int, piece int, path string, n_docs long, n_ids long").collect())
+    return TokenCorpus(spark, [(i, *row[2:]) for i, row in enumerate(manifest)])

@@ -79,3 +79,27 @@ def test_files_are_seekable_and_checked(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.write_tokens(docs, PATH, files=3).summary().count() == 0
+
+
+def test_hot_ids_are_cut_and_files_stay_small(spark):
+    rows = [(None, f"text {i} of no id") for i in range(300)] + [(7, "the very same text")] * 300 + [(i, f"doc {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    corpus = T.write_tokens(docs, PATH, files=6, file_bytes=400)
+    assert len(corpus.manifest) > 6 and max(n_ids for *_, n_ids in corpus.manifest) < 400
+    got = sorted(tuple(r) for r in corpus.summary().select("start", "doc_id", "n_tokens").collect())
+    ids = [d for _, d, _ in got]
+    assert len(got) == 700 and ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+    assert all(b[0] == a[0] + a[2] for a, b in zip(got, got[1:]))
+
+
+def test_whole_query_matches_brute_force(spark, tmp_path):
+    from caseloom.llm.queries import op9_seekable_zstd
+
+    texts = ODD + [f"number {i}" for i in range(50)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model, start, want = Tokenizer.from_file(PATH), 0, []
+    for i, text in enumerate(texts):
+        ids = plain(model, text)
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in op9_seekable_zstd(spark, str(tmp_path)).collect()) == want
