@@ -3,8 +3,9 @@
 Every source has a weight; its target is its share of all words, at most
 MAX_COPIES times its own size, the excess shared again by weight until no
 source is above.  A document first gets the whole copies that are certain,
-floor(target / size of its source).  The rest of the target is sampled: with
-inclusion probability p (by weight_col if given, so unequal within a source)
+floor(target / size of its source).  The rest of the target is sampled, a
+sample whose size is fixed in words: with inclusion probability p, in
+proportion to weight_col (unequal within a source; the queries take by_size),
 and a uniform u that hashes the id, documents are ranked by
 (u / (1 - u)) / (p / (1 - p)), Pareto's order, and taken from the least on
 while their words stay within what is left.  The gap that the first document
@@ -20,8 +21,10 @@ of a row and of its source's thresholds, and reruns agree.
 
 Cases: a null or empty text has size 0 and is taken 0 words; a null source is a
 source, last in order; rows with equal ids (repeated rows) share their rank and
-are taken together; an empty table gives an empty result; other columns are
-kept.
+are taken together; documents without words and those of a null id are ranked like
+others; an empty table gives an empty result; other columns are kept, but for
+mix_copies, mix_target and mix_source_size, which the results replace.  One row
+for each source goes through a single task for the targets.
 """
 
 from __future__ import annotations
@@ -43,6 +46,11 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def by_size(size: str = "size") -> Column:
+    """Inclusion odds that grow with the root of a document's words: long documents are rarer, and their words go farther."""
+    return F.sqrt(F.greatest(F.col(size), F.lit(1)).cast("double"))
+
+
 def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
@@ -151,4 +159,5 @@ def with_copies(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source
     copies = F.when(size > 0, p("certain") + taken.cast("int")).otherwise(p("certain"))
     side = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
     joined = docs.join(F.broadcast(side) if plan.count() <= BROADCAST_SOURCES else side, _same(F.col(source_col), p("source")))
-    return joined.select(*[docs[c] for c in docs.columns], copies.alias("mix_copies"), p("target").alias("mix_target"), p("words").alias("mix_source_size"))
+    own = ("mix_copies", "mix_target", "mix_source_size")
+    return joined.select(*[docs[c] for c in docs.columns if c not in own], copies.alias("mix_copies"), p("target").alias("mix_target"), p("words").alias("mix_source_size"))

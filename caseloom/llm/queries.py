@@ -66,11 +66,11 @@ def op5_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from caseloom.llm.mixing import n_words, plan_mix, with_copies
+    from caseloom.llm.mixing import by_size, n_words, plan_mix, with_copies
     from caseloom.scratch import save
 
-    sized = save(_table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size")), "sizes")
-    found = with_copies(sized, plan_mix(sized))
+    sized = save(_table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size")).withColumn("odds", by_size()), "sizes")
+    found = with_copies(sized, plan_mix(sized, weight_col="odds"), weight_col="odds")
     return found.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
 
 

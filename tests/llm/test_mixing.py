@@ -59,6 +59,67 @@ def test_inclusion_follows_the_weights(spark):
     assert abs((share["a", 3.0] + share["a", 1.0]) / 2 - 0.4) < 0.01 and share["b", 1.0] >= 1
 
 
+def brute_copies(rows):
+    """Copies of each row (doc_id, size, source, u), by the definition, document by document."""
+    words = {}
+    for _, size, s, _ in rows:
+        words[s] = words.get(s, 0) + size
+    target, out = water(words), {}
+    for s in words:
+        mine = [r for r in rows if r[2] == s]
+        certain = int(target[s] // words[s]) if words[s] else 0
+        gap = target[s] - certain * words[s]
+        share = gap / words[s] if words[s] else 0.0
+        mean = sum(n * max(n, 1) ** 0.5 for _, n, *_ in mine) / max(1, words[s])
+        tame = lambda x: max(1e-9, min(x, 1 - 1e-9))
+        rank = {}
+        for i, n, _, u in mine:
+            p, base = tame(share * (max(n, 1) ** 0.5 / max(mean, 1e-12))), tame(share)
+            odds = u / (1 - u) / (p / (1 - p)) * (base / (1 - base))
+            rank[i] = odds / (1 + odds)
+        live, chosen, least = sorted((rank[i], n, i) for i, n, *_ in mine if n), set(), 0.0
+        for step in range(mixing.FILLS + 1):
+            some = [(v, n, i) for v, n, i in live if v >= least and (n <= gap or not step)]
+            for v, n, i in some:
+                least = v
+                if n > gap:
+                    break
+                gap -= n
+                chosen.add(i)
+            else:
+                break
+        spare = sorted((n, v, i) for v, n, i in live if i not in chosen and n < 2 * gap)
+        chosen.update(i for *_, i in spare[:1])
+        out |= {i: certain + (i in chosen) for i, n, *_ in mine}
+    return out, target, words
+
+
+def test_whole_query_matches_brute_force(spark, tmp_path):
+    from caseloom.llm.queries import op6_pareto
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(4, 1.2))) if i % 40 else None, rng.choice(["a", "b", "b", "b", "é", None]), "clash") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    u = {r.doc_id: r.u for r in docs.select("doc_id", mixing._uniform("doc_id", 11).alias("u")).collect()}
+    copies, target, words = brute_copies([(i, len((t or "").split()), s, u[i]) for i, t, s, _ in rows])
+    got = op6_pareto(spark, str(tmp_path)).collect()
+    assert len(got) == 700
+    for r in got:
+        n, s = len((rows[r.doc_id][1] or "").split()), rows[r.doc_id][2]
+        assert (r["size"], r.source_size, r.taken) == (n, words[s], n * copies[r.doc_id]), r
+        assert abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.taken <= 3 * n
+    for s in words:
+        assert abs(sum(r.taken for r in got if rows[r.doc_id][2] == s) - target[s]) <= max(3, 0.01 * target[s])
+
+
+def test_clashing_columns_have_a_defined_result(spark):
+    docs = spark.createDataFrame([(1, "a", 10, "x", "y"), (2, "b", 20, "x", "y")], "doc_id long, source string, size long, mix_copies string, words string")
+    got = mixing.with_copies(docs, mixing.plan_mix(docs))
+    assert got.columns == ["doc_id", "source", "size", "words", "mix_copies", "mix_target", "mix_source_size"]
+    assert dict(got.dtypes)["mix_copies"] == "int" and {r.words for r in got.collect()} == {"y"}
+
+
 def test_word_count_and_empty_table(spark):
     texts = ["a b", " a\x0b\x0cb\r\nc ", "a b 　", "", None, "\x1c x"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

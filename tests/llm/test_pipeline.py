@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 from caseloom.llm import mixing, quality, simhash
 
-from .test_mixing import water
+from .test_mixing import brute_copies
 from .test_quality import corpus as quality_corpus
 from .test_simhash import unsigned
 from .test_winnow import brute as contamination
@@ -60,31 +60,8 @@ def brute(spark, path, rows, benchmark):
     rows = [r for r in rows if not contamination(r[1], benchmark)[1]]
     # the mix, document by document
     u = {r.doc_id: r.u for r in docs.select("doc_id", mixing._uniform("doc_id", 11).alias("u")).collect()}
-    size = lambda r: len((r[1] or "").encode().split())
-    words = {}
-    for r in rows:
-        words[r[3]] = words.get(r[3], 0) + size(r)
-    target, taken = water(words), []
-    for s in words:
-        certain = int(target[s] // words[s])
-        gap = target[s] - certain * words[s]
-        mine = sorted((u[r[0]], size(r), r) for r in rows if r[3] == s)
-        chosen = set()
-        least = 0.0
-        for _ in range(4):
-            live = [(v, n, r) for v, n, r in mine if n and v >= least and (n <= gap or least == 0.0)]
-            for v, n, r in live:
-                least = v
-                if n > gap:
-                    break
-                gap -= n
-                chosen.add(r)
-            else:
-                break
-        spare = sorted((n, v, r) for v, n, r in mine if n and r not in chosen and n < 2 * gap)
-        chosen.update(r for _, _, r in spare[:1])
-        for _, _, r in mine:
-            taken += [r] * (certain + (r in chosen))
+    copies = brute_copies([(r[0], len((r[1] or "").encode().split()), r[3], u[r[0]]) for r in rows])[0]
+    taken = [r for r in rows for _ in range(copies[r[0]])]
     model, start, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
     for r in sorted(taken, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = model.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -203,3 +180,12 @@ def test_rows_that_share_an_id_but_not_a_text(spark, tmp_path):
     copies = spark.createDataFrame([(1, one, "en", "s", 1), (3, two, "en", "s", 2), (3, one, "en", "s", 3)], docs.schema)
     got = sorted((r.doc_id, r.text) for r in P.near_dedup(spark, copies, str(tmp_path)).collect())
     assert got == [(1, one), (3, two)]
+
+
+def test_mix_keeps_columns_of_any_name(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of document {i}", "en", "s", 7, f"x{i}", i, "z") for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long, mix_size string, mix_copy int, mix_copies string")
+    got = P.mix(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in docs.collect()}
+    kept = P.near_dedup(spark, docs.withColumn("key", docs.lang), str(tmp_path))
+    assert kept.count() == 20 and kept.columns == [*docs.columns, "key"]
