@@ -20,16 +20,22 @@ def duplicates(clusters: DataFrame) -> DataFrame:
 
 
 def group_list(clusters: DataFrame) -> DataFrame:
-    """(cluster_id, n_reports, position, previous, next): the groups in order, with neighbours around the ends."""
-    each = duplicates(clusters).groupBy("cluster_id").agg(F.count("report_id").alias("n_reports"))
-    order, whole = Window.orderBy("cluster_id"), Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return each.select(
-        "cluster_id",
-        "n_reports",
-        F.row_number().over(order).alias("position"),
-        F.coalesce(F.lag("cluster_id").over(order), F.last("cluster_id").over(whole)).alias("previous"),
-        F.coalesce(F.lead("cluster_id").over(order), F.first("cluster_id").over(whole)).alias("next"),
+    """(cluster_id, n_reports, position, previous, next): the groups in order, with neighbours around the ends.
+
+    Groups are ordered within ranges of ids; only a row for each range goes through one task.
+    """
+    each = duplicates(clusters).groupBy("cluster_id").agg(F.count("report_id").alias("n_reports")).withColumn("range", F.floor(F.col("cluster_id") / (1 << 20)))
+    ends = each.groupBy("range").agg(F.count("*").alias("n"), F.min("cluster_id").alias("first"), F.max("cluster_id").alias("last"))
+    order, whole = Window.orderBy("range"), Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(
+        "range",
+        F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("left"),
+        F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("right"),
     )
+    inner = Window.partitionBy("range").orderBy("cluster_id")
+    placed = each.withColumns({"rank": F.row_number().over(inner), "lag": F.lag("cluster_id").over(inner), "lead": F.lead("cluster_id").over(inner)})
+    return placed.join(ends, "range").select("cluster_id", "n_reports", (F.col("before") + F.col("rank")).alias("position"), F.coalesce("lag", "left").alias("previous"), F.coalesce("lead", "right").alias("next"))
 
 
 def members(detailed: DataFrame, cluster_id: int | Column) -> DataFrame:
@@ -87,3 +93,24 @@ def summary(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
         F.max("cluster_size").alias("max_cluster"),
         F.count_if(F.col("ambiguous_matches_pruned") > 0).alias("n_crowded"),
     )
+
+
+def weight_scale(weights: DataFrame) -> DataFrame:
+    """(field, weight, top): learned weights for display by a label each, with the end of their scale, which is 1 at least."""
+    top = weights.agg(F.greatest(F.max("weight"), F.lit(1.0)).alias("top"))  # one row
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("field")), F.col("field"))
+    return weights.select(label.alias("field"), F.round("weight", 2).alias("weight")).join(F.broadcast(top.select(F.round("top", 2).alias("top"))))
+
+
+def shown_metrics(metrics: DataFrame) -> DataFrame:
+    """Precision, recall and F1 as text: with two digits for a page, with three, right-aligned, for a table."""
+    two = [F.format_string("%.2f", F.col(c)).alias(c) for c in ("precision", "recall", "f1")]
+    line = F.format_string("%9.3f %7.3f %6.3f", "precision", "recall", "f1")
+    return metrics.select(*two, line.alias("line"))
+
+
+def shown_groups(groups: DataFrame) -> DataFrame:
+    """(cluster_id, caption) of a group list: place among all groups and size, numbers with separators."""
+    n = groups.agg(F.count("*").alias("n"))  # one row
+    caption = F.concat_ws(" ", F.lit("Group"), F.format_number("position", 0), F.lit("of"), F.format_number("n", 0), F.lit("with"), F.format_number("n_reports", 0), F.lit("reports"))
+    return groups.join(F.broadcast(n)).select("cluster_id", caption.alias("caption"))

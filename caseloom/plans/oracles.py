@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from caseloom.config import AGREE, FIELDS, LABELS, OTHER_AGREE, REVIEW_WEIGHTS, SIGNALS
 from caseloom.functions.vocab import BRANDS, DRUGS
+from caseloom.plans.queries import DRUG_WORDS, EVENT_WORDS
+from caseloom.sources.generate import NOISE
 
 G = range(len(FIELDS))
 
@@ -231,4 +233,63 @@ WHERE event_id % 17 <> 0 AND event_id % 19 <> 0""",
     "review_summary": _sql(_TO_LABELS, "SELECT count(*) AS n_reports, count(DISTINCT CASE WHEN cluster_size > 1 THEN cluster_id END) AS n_groups, count(*) FILTER (cluster_size > 1) AS n_in_groups, count(*) FILTER (NOT keep) AS n_removed, max(cluster_size) AS max_cluster, CAST(0 AS BIGINT) AS n_crowded FROM kept"),
     "in_group_pairs": _sql(_TO_LABELS, "SELECT report_id_a, report_id_b, a.cluster_id, round(p, 6) AS match_probability FROM pruned JOIN seen a ON a.report_id = report_id_a JOIN seen b ON b.report_id = report_id_b AND a.cluster_id = b.cluster_id WHERE p >= 0.3"),
     "run_diagnostics": _sql([*_TO_PRUNED, EM], "SELECT (SELECT count(*) FROM compared WHERE conflict) AS conflicts, (SELECT count(*) FROM lost) AS pruned, CAST((SELECT it FROM model) AS BIGINT) AS em_iterations, (SELECT count(*) FROM pat) AS em_patterns, (SELECT count(*) FROM pairs) AS pairs"),
+    "grouped_best_pairs": _sql(
+        [
+            *_TO_PRUNED,
+            "ends2 AS (SELECT i AS node, i, j, p FROM pruned WHERE p >= 0.7 UNION ALL SELECT j, i, j, p FROM pruned WHERE p >= 0.7)",
+            "best AS (SELECT node, min(i) AS i, min(j) AS j FROM (SELECT *, max(p) OVER (PARTITION BY node) AS top FROM ends2) WHERE p = top GROUP BY node HAVING count(*) = 1)",
+        ],
+        "SELECT i, j FROM best GROUP BY i, j HAVING count(*) = 2",
+    ),
+    "group_shapes": _sql(
+        [
+            *_TO_LABELS,
+            "sized AS (SELECT component, count(*) AS n FROM comp GROUP BY component)",
+            "drawn AS (SELECT component, count(*) AS m FROM pruned JOIN comp ON i = node WHERE p >= 0.7 GROUP BY component)",
+        ],
+        "SELECT component, n FROM sized JOIN drawn USING (component) WHERE n * (n - 1) / 2 = m",
+    ),
+    "weight_scale": _sql(
+        _TO_EM,
+        "SELECT CASE field " + " ".join(f"WHEN '{f}' THEN '{LABELS[f]}'" for f in FIELDS) + f" END AS field, round(w, 2) AS weight, round(greatest(max(w) OVER (), 1.0), 2) AS top FROM (SELECT field, log2(greatest(m / (u + 1e-9), 1e-3)) AS w FROM ({_FIELD_ROWS('m{k} AS m, u{k} AS u FROM model')}))",
+    ),
+    "preview_reports": _sql([RARE], f"SELECT report_id, age, sex, seriousness, report_day, {_JOINED.format(';', 'drugs', 'events')}, true_cluster_id FROM reports ORDER BY idx LIMIT 3"),
+    "shuffled_reports": _sql([RARE], "SELECT report_id, true_cluster_id FROM reports"),
+    "fuzzy_drug": """SELECT event_id, raw, coalesce(MAP {'atorvastatn': 'atorvastatin', 'metfomin': 'metformin', 'lisinoprl': 'lisinopril', 'sertralin': 'sertraline', 'amlodipin': 'amlodipine', 'omeprazol': 'omeprazole', 'losartn': 'losartan', 'ibuprofin': 'ibuprofen', 'gabapentn': 'gabapentin'}[raw], raw) AS norm
+FROM (SELECT event_id, ['atorvastatn', 'metfomin', 'lisinoprl', 'sertralin', 'amlodipin', 'omeprazol', 'losartn', 'ibuprofin', 'gabapentn', 'zzyzx', 'warfarin', 'xatorvastatin', 'atorva'][event_id % 13 + 1] AS raw FROM events)""",
 }
+_METRICS = ORACLES["pairwise_metrics"].rpartition(" SELECT round(p, 6)")[0]
+ORACLES["shown_metrics"] = _METRICS + " SELECT printf('%.2f', p) AS precision, printf('%.2f', r) AS recall, printf('%.2f', f) AS f1, printf('%9.3f %7.3f %6.3f', p, r, f) AS line FROM (SELECT p, r, 2 * p * r / greatest(p + r, 1e-9) AS f FROM rates)"
+ORACLES["shown_groups"] = _sql(_TO_LABELS, "SELECT cluster_id, 'Group ' || format('{:,}', row_number() OVER (ORDER BY cluster_id)) || ' of ' || format('{:,}', count(*) OVER ()) || ' with ' || format('{:,}', n) || ' reports' AS caption FROM (SELECT cluster_id, count(*) AS n FROM seen WHERE cluster_size > 1 GROUP BY cluster_id)")
+ORACLES["case_sample"] = "SELECT ReportID, CASE WHEN Age IS NOT NULL THEN CAST(Age AS VARCHAR) END AS Age, nullif(Sex, '') AS Sex, Seriousness, CAST(ReportDay AS VARCHAR) AS ReportDay, Drugs, Events FROM (" + ORACLES["flatten_case_json"] + ")"
+
+#: What the normaliser's words mean: noisy wordings are made from their terms; the others are known cases.
+_MEANT = {w: term for term, words in NOISE.items() for w in words} | {
+    "FORMOTEROL FUMARATE DIHYDRATE": "formoterol", "Clotrimazole Topical": "clotrimazole", "POTASSIUM CHLORIDE": "potassium chloride",
+    "SODIUM CHLORIDE": "sodium chloride", "Calcium": "calcium", "FERROUS SULFATE": "ferrous sulfate", "LOSARTAN POTASSIUM": "losartan",
+    "OMEPRAZOLE MAGNESIUM": "omeprazole", "ASPIRIN (ACETYLSALICYLIC ACID)": "aspirin", "LIPITOR (ATORVASTATIN CALCIUM)": "atorvastatin",
+    "valsartan": "valsartan", "Diovan": "valsartan", "vitamin b12 1000mcg": "vitamin b12", "20 mg": "20 mg", "(oral)": "oral", "5-fu": "fu", "  ": "",
+    "Chronic obstructive pulmonary disease": "chronic obstructive pulmonary disease", "acute myocardial infarction": "acute myocardial infarction",
+    "severe migraine": "headache", "Pollakiuria": "pollakiuria", "Haematemesis": "haematemesis", "AKI": "acute kidney injury",
+    "Injection site pain": "injection site pain", "Blood calcium decreased": "blood calcium decreased", "can't sleep": "insomnia",
+    "mild feeling of nausea": "nausea", "patient felt dizzy, then rash": "dizziness", "(hives)": "rash", "...": "",
+}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(words: list[str]) -> str:
+    return f"[{', '.join(map(_quoted, words))}]"
+
+
+def _meant(word: str, words: list[str]) -> str:
+    return f"MAP {{{', '.join(f'{_quoted(w)}: {_quoted(_MEANT[w])}' for w in dict.fromkeys(words))}}}[{word}]"
+
+
+for _name, _some in (("normalized_drugs", DRUG_WORDS), ("normalized_events", EVENT_WORDS)):
+    ORACLES[_name] = f"SELECT event_id, raw, {_meant('raw', _some)} AS norm FROM (SELECT event_id, {_list(_some)}[event_id % {len(_some)} + 1] AS raw FROM events)"
+ORACLES["normalized_sets"] = f"""SELECT event_id, string_agg(DISTINCT norm, ';' ORDER BY norm) AS events
+FROM (SELECT event_id, {_meant('raw', EVENT_WORDS)} AS norm FROM (SELECT event_id, {_list(EVENT_WORDS)}[(event_id + 7 * i) % {len(EVENT_WORDS)} + 1] AS raw FROM events, range(0, 3) AS r(i)))
+WHERE norm <> '' GROUP BY event_id"""

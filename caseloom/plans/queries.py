@@ -22,6 +22,9 @@ AUTO, MANUAL = Linkage(), Linkage(mode="manual", weights=REVIEW_WEIGHTS)
 DRUG_WORDS = [w for t, ws in generate.NOISE.items() if t in generate.DRUGS for w in ws] + "FORMOTEROL FUMARATE DIHYDRATE|Clotrimazole Topical|POTASSIUM CHLORIDE|SODIUM CHLORIDE|Calcium|FERROUS SULFATE|LOSARTAN POTASSIUM|OMEPRAZOLE MAGNESIUM|ASPIRIN (ACETYLSALICYLIC ACID)|LIPITOR (ATORVASTATIN CALCIUM)|valsartan|Diovan|vitamin b12 1000mcg|20 mg|(oral)|5-fu|  ".split("|")
 EVENT_WORDS = [w for t, ws in generate.NOISE.items() if t in generate.EVENTS for w in ws] + "Chronic obstructive pulmonary disease|acute myocardial infarction|severe migraine|Pollakiuria|Haematemesis|AKI|Injection site pain|Blood calcium decreased|can't sleep|mild feeling of nausea|patient felt dizzy, then rash|(hives)|...".split("|")
 
+#: Misspellings that no dictionary holds, and words that are near nothing.
+MISSPELLED = "atorvastatn metfomin lisinoprl sertralin amlodipin omeprazol losartn ibuprofin gabapentn zzyzx warfarin xatorvastatin atorva".split()
+
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
 
@@ -173,6 +176,30 @@ def normalized_sets(spark, sf_dir):
     return sets(rows, "event_id", "events", "event").withColumn("events", F.array_join("events", ";"))
 
 
+@query
+def fuzzy_drug(spark, sf_dir):
+    """Misspelled ingredients: the best match in the vocabulary, if it can be a misspelling."""
+    return _normalized(spark, sf_dir, MISSPELLED, "drug")
+
+
+@query
+def case_sample(spark, sf_dir):
+    """Case JSON flattened, saved as delimited files and read back."""
+    from caseloom.scratch import new_path
+
+    return casejson.save_sample(_cases(spark, sf_dir), new_path(spark, "cases.csv")).drop("idx")
+
+
+@query
+def preview_reports(spark, sf_dir):
+    return _flat(reports.preview(_reports(spark, sf_dir))).drop("idx")
+
+
+@query
+def shuffled_reports(spark, sf_dir):
+    return generate.shuffled(_reports(spark, sf_dir)).select("report_id", "true_cluster_id")
+
+
 # blocking
 
 
@@ -288,6 +315,12 @@ def learned_weights(spark, sf_dir):
     return spark.createDataFrame(rows, "field string, weight double").select("field", F.round("weight", 2).alias("weight")).orderBy(F.desc("weight"))
 
 
+@query
+def weight_scale(spark, sf_dir):
+    rows = [(f, w) for f, w in em.fit(_compared(spark, sf_dir)).weights().items()]
+    return review.weight_scale(spark.createDataFrame(rows, "field string, weight double"))
+
+
 def _scored(spark, sf_dir, config) -> DataFrame:
     compared = _compared(spark, sf_dir)
     return em.score(compared, config, em.fit(compared, config) if config.mode == "auto" else None)
@@ -369,6 +402,34 @@ def clusters(spark, sf_dir):
     return _labels(spark, sf_dir, MANUAL)[2]
 
 
+@query
+def grouped_best_pairs(spark, sf_dir):
+    """The strong pairs that are each other's strictly best match, where the run has put both in one group."""
+    _, pruned, labels = _labels(spark, sf_dir, MANUAL)
+    strong = pruned.where(F.col("p") >= MANUAL.cut).select("i", "j", "p")
+    ends = strong.select(F.col("i").alias("node"), "i", "j", "p").unionByName(strong.select(F.col("j").alias("node"), "i", "j", "p"))
+    tops = ends.groupBy("node").agg(F.max("p").alias("top"))
+    best = ends.join(tops, "node").where("p = top").groupBy("node").agg(F.count("*").alias("n"), F.min("i").alias("i"), F.min("j").alias("j")).where("n = 1")
+    mutual = best.groupBy("i", "j").agg(F.count("*").alias("n")).where("n = 2").select("i", "j")
+    a = labels.select(F.col("idx").alias("i"), F.col("cluster_id").alias("a"))
+    b = labels.select(F.col("idx").alias("j"), F.col("cluster_id").alias("b"))
+    return mutual.join(a, "i").join(b, "j").where("a = b").select("i", "j")
+
+
+@query
+def group_shapes(spark, sf_dir):
+    """What groups can be at the defaults: (components of one pair or of a triangle) that form one group each, with their least report."""
+    _, pruned, labels = _labels(spark, sf_dir, MANUAL)
+    strong = pruned.where(F.col("p") >= MANUAL.cut)
+    parts = connected_components(strong, "i", "j")
+    sized = parts.groupBy("component").agg(F.count("*").alias("n"))
+    edges = strong.join(parts.select(F.col("node").alias("i"), "component"), "i").groupBy("component").agg(F.count("*").alias("m"))
+    whole = sized.join(edges, "component").where("n * (n - 1) / 2 = m")
+    own = parts.join(whole, "component").join(labels, parts["node"] == labels["idx"])
+    found = own.groupBy("component").agg(F.first("n").alias("n"), F.min("cluster_id").alias("a"), F.max("cluster_id").alias("b"), F.max("cluster_size").alias("size"))
+    return found.where("a = b and size = n").select("component", "n")
+
+
 @query
 def all_singletons(spark, sf_dir):
     rows = _reports(spark, sf_dir)
@@ -418,6 +479,11 @@ def pairwise_metrics(spark, sf_dir):
     return _rounded(metrics.pairwise_metrics(_component_labels(spark, sf_dir)), "precision", "recall", "f1")
 
 
+@query
+def shown_metrics(spark, sf_dir):
+    return review.shown_metrics(metrics.pairwise_metrics(_component_labels(spark, sf_dir)))
+
+
 # review, on the same groups
 
 
@@ -443,6 +509,11 @@ def group_navigation(spark, sf_dir):
     return review.group_list(_reviewed(spark, sf_dir)).select("cluster_id", "previous", "next")
 
 
+@query
+def shown_groups(spark, sf_dir):
+    return review.shown_groups(review.group_list(_reviewed(spark, sf_dir)))
+
+
 @query
 def dup_members(spark, sf_dir):
     return review.duplicates(_reviewed(spark, sf_dir)).select("report_id", "cluster_id", "cluster_size")

@@ -58,6 +58,21 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"results array<{CASE}>").option("multiLine", True).json(path).select(F.explode("results").alias("case"))
 
 
+def save_sample(cases: DataFrame, path: str) -> DataFrame:
+    """Flattens cases (a column value of JSON, as a landed response or the case service gives), writes them as delimited files and reads them back."""
+    from caseloom.sources.reports import read_delimited, write_delimited
+
+    write_delimited(flatten_cases(parse_cases(cases)), path)
+    return read_delimited(cases.sparkSession, path)
+
+
+def fetch_sample(spark: SparkSession, url: str, path: str, search: str | None = None, limit: int = 500) -> DataFrame:
+    """Asks the case service, flattens what it returns and saves it as delimited files at path."""
+    register_case_service(spark)
+    asked = spark.read.format("case_service").option("url", url).option("limit", str(limit))
+    return save_sample((asked.option("search", search) if search else asked).load(), path)
+
+
 def register_case_service(spark: SparkSession) -> None:
     """Registers the data source "case_service": option url (a query address that returns such a document) and limit (at most 1000).
 

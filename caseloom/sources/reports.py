@@ -14,13 +14,15 @@ SPELLINGS = {"report_id": "ReportID", "age": "Age", "sex": "Sex", "seriousness":
 TEMPLATE = "ReportID,Age,Sex,Seriousness,ReportDay,Drugs,Events\n1001,54,Female,Serious,120,Lipitor 20mg;aspirin,nausea;headache\n1002,55,Female,Serious,123,atorvastatin;aspirin,throwing up;head ache\n"
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """All columns as strings, cells that mean "missing" as null, and idx in the order of files and lines.
 
+    line_breaks: quoted cells may hold line breaks; a file is then read whole by one task.
+
     idx is counted within each block of a file, then shifted by the counts of
     the blocks before it; no single task orders all rows.
     """
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(path)
     names = raw.columns
     placed = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
     counts = placed.groupBy("__file", "__block").agg(F.count("*").alias("__n"))
@@ -134,6 +136,11 @@ def display_shape(reports: DataFrame) -> DataFrame:
     return reports.select("report_id", "age", "sex", "seriousness", "report_day", F.array_join(F.array_sort("drugs"), "; ").alias("drugs"), F.array_join(F.array_sort("events"), "; ").alias("events"))
 
 
+def preview(rows: DataFrame, n: int = 3) -> DataFrame:
+    """The first n rows by their order in the source."""
+    return rows.orderBy("idx").limit(n) if "idx" in rows.columns else rows.limit(n)
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     """Delimited files with a header, one for each partition of df."""
     df.write.option("header", True).option("quoteAll", False).option("escape", '"').csv(path)

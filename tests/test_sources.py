@@ -118,3 +118,48 @@ def test_case_service(spark):
     lines = spark.read.format("case_service").option("url", f"http://127.0.0.1:{server.server_port}/q").option("limit", "5000").load()
     assert [r.case.safetyreportid for r in casejson.parse_cases(lines).collect()] == ["1000"]
     server.shutdown()
+
+
+def test_quoted_line_breaks_and_previews(spark, tmp_path):
+    path = f"{tmp_path}/r.csv"
+    with open(path, "w") as f:
+        f.write('ReportID,Drugs\n1,"a;\nb"\n2,c\n3,d\n4,e\n')
+    got = reports.read_delimited(spark, path, line_breaks=True)
+    assert [(r.idx, r.ReportID, r.Drugs) for r in got.orderBy("idx").collect()] == [(0, "1", "a;\nb"), (1, "2", "c"), (2, "3", "d"), (3, "4", "e")]
+    assert [r.ReportID for r in reports.preview(got).collect()] == ["1", "2", "3"]
+
+
+def test_fetched_sample_is_flattened_and_saved(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from caseloom.sources import casejson
+
+    case = {"safetyreportid": "9", "serious": "1", "patient": {"patientsex": "1", "drug": [{"medicinalproduct": "Lipitor"}], "reaction": [{"reactionmeddrapt": "Nausea"}]}}
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": [case, {"safetyreportid": "10"}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        got = casejson.fetch_sample(spark, f"http://127.0.0.1:{server.server_port}/q", f"{tmp_path}/sample").collect()
+    finally:
+        server.shutdown()
+    assert [(r.ReportID, r.Sex, r.Drugs, r.Events) for r in got] == [("9", "Male", "Lipitor", "Nausea")]
+
+
+def test_group_list_over_several_ranges(spark):
+    from caseloom.operators import review
+
+    ids = [5, 9, 1 << 20, (1 << 21) + 3, (1 << 40) + 1]
+    rows = [(f"{c}-{i}", c, True) for c in ids for i in range(2)] + [("x", 7, False)]
+    got = review.group_list(spark.createDataFrame(rows, "report_id string, cluster_id long, is_candidate_duplicate boolean")).orderBy("position").collect()
+    assert [(r.cluster_id, r.position, r.previous, r.next) for r in got] == [(c, i + 1, ids[i - 1], ids[(i + 1) % 5]) for i, c in enumerate(ids)]
