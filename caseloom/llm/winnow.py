@@ -334,8 +334,10 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
     """
     known = Items(items, item_id, item_text, k, w)
     if known.size() <= broadcast_words:
-        return docs.mapInArrow(_filter_by(docs.sparkSession.sparkContext.broadcast(known.side()), docs.columns.index(text_col)), docs.schema)
-    whole = docs.select(F.struct(*docs.columns).alias("id"), F.col(text_col).alias("text"))
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no names with dots
+        clean = plain.mapInArrow(_filter_by(docs.sparkSession.sparkContext.broadcast(known.side()), docs.columns.index(text_col)), plain.schema)
+        return clean.toDF(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col(text_col).alias("text"))
     return _hits(whole, known, broadcast_words).where("size(spans) = 0").select("id.*")
 
 

@@ -167,3 +167,21 @@ def test_contract_and_blocks(spark):
         assert b"".join(p for _, p in sorted(blocks[i].items())) == full and all(full[a : a + len(p)] == p for a, p in blocks[i].items())
     assert rows[2][2:] == rows[len(texts) - 1][2:]
     assert flac.stored_digests(docs.limit(0)).count() == 0 and flac.digests(spark.createDataFrame([(1, None)], "id long, media binary")).count() == 0
+
+
+def test_whole_query_matches_brute_force(spark, tmp_path):
+    from caseloom.llm.queries import op2_flac
+
+    rng = random.Random(5)
+    texts = [None, "", "x", "é" * 3000, "same text", "same text"] + ["".join(rng.choice("ab é漢\n") for _ in range(rng.randrange(9000))) for _ in range(40)]
+    spark.createDataFrame([(i, t, b"n", 1) for i, t in enumerate(texts)], "doc_id long, text string, media binary, n_bytes int").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op2_flac(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        full = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        media = flac.encode_payloads([full])[0]
+        want = (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want
+    assert rows[4].feature == rows[5].feature

@@ -153,3 +153,11 @@ def test_the_ratio_step_removes_blocks_of_the_test_pages():
         gone += sum(content and path not in kept for path, content, *_ in found)
         shown += sum(content and path in kept for path, content, *_ in found)
     assert gone > 0 and shown > 4 * gone
+
+
+def test_very_deep_and_very_long_pages():
+    deep = "<div>" * 3000 + STORY + "</div>" * 3000
+    assert pages.main_text(f"<body>{deep}</body>").count("Paragraph") == 6
+    began = time.time()
+    long = "".join(f"<div class=k{i}><p>Paragraph {i}, long enough, with commas, and an end.</p></div>" for i in range(20_000))
+    assert pages.main_text(f"<body><main>{long}</main></body>").count("Paragraph") == 20_000 and time.time() - began < 20

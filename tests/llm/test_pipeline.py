@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -187,5 +188,9 @@ def test_mix_keeps_columns_of_any_name(spark, tmp_path):
     got = P.mix(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in docs.collect()}
-    kept = P.near_dedup(spark, docs.withColumn("key", docs.lang), str(tmp_path))
-    assert kept.count() == 20 and kept.columns == [*docs.columns, "key"]
+    more = docs.withColumn("key", docs.lang).withColumn("a.b", docs.mix_copy).withColumn("of", F.create_map(docs.lang, docs.n_chars))
+    spark.createDataFrame([(1, "nothing of theirs")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (P.near_dedup, P.decontaminate, P.mix):
+        kept = stage(spark, more.unionByName(more.limit(0)), str(tmp_path))
+        assert kept.columns == more.columns and kept.count() == 20, stage
+    assert P.near_dedup(spark, more.unionByName(more), str(tmp_path)).count() == 20  # of equal rows one stays

@@ -100,3 +100,23 @@ def test_empty_table_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (5, None)], "doc_id long, text string")
     got = simhash.near_duplicates(twice).collect()
     assert sorted((str(r.id), r.component) for r in got) == [("1", 1), ("1", 1), ("5", 5), ("None", 1)]
+
+
+def test_registered_query_matches_brute_force(spark, tmp_path):
+    from caseloom.llm.queries import op10_simhash
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(400)]
+    texts = [None, "", "one", "two words"]
+    for _ in range(150):
+        near = list(base)
+        for _ in range(rng.randrange(4)):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        texts.append(" ".join(near))
+    rows = [(3 * i + 5, t, "x") for i, t in enumerate(texts)] + [(2, texts[9], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, component_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [(i, brute_print(t, 3)) for i, t, _ in rows]
+    groups = brute_components(prints, 2)
+    assert 1 < len(set(groups.values())) < 60
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in op10_simhash(spark, str(tmp_path)).collect()} == {(i, f"{p:016x}", groups[i]) for i, p in prints}
