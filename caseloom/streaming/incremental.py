@@ -1,7 +1,9 @@
 """Linkage of reports as they arrive: each micro-batch is compared with itself and with all stored reports.
 
-Reports are stored as Parquet under a folder; a batch writes its
-own subfolder, replaced if the batch is run again, so a restart repeats nothing.
+Reports and their postings are stored as Parquet under a folder; a batch writes
+its own subfolders, replaced if the batch is run again, so a restart repeats
+nothing.  A batch makes postings of its own reports only, and of the stored ones
+takes those under its keys; rarity weights are counted over all reports.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from caseloom.operators.features import compare
 from caseloom.plans.linkage import demographic_veto
 from caseloom.sources.reports import SCHEMA
 
+#: What a stored posting holds.
+POSTING = "h1 bigint, h2 bigint, bucket bigint, idx bigint, day bigint"
+
 
 def link_batch(batch: DataFrame, batch_id: int, store: str, config: Linkage = Linkage(), model: Model = PRIORS) -> DataFrame:
     """Scored pairs at or above the threshold with at least one report of the batch; the batch is added to the store."""
@@ -25,9 +30,10 @@ def link_batch(batch: DataFrame, batch_id: int, store: str, config: Linkage = Li
     everything = spark.read.schema(f"{SCHEMA}, batch bigint").parquet(f"{store}/reports").where(F.col("batch") <= batch_id)
     fresh = everything.where(F.col("batch") == batch_id).select("idx")
     reports = everything.drop("batch")
-    posts = all_postings(reports, config.max_day_delta)
-    touched = posts.join(fresh, "idx", "left_semi").select(*KEY).distinct()
-    near = posts.join(touched, KEY, "left_semi")
+    all_postings(spark.read.schema(SCHEMA).parquet(f"{store}/reports/batch={batch_id}"), config.max_day_delta).write.mode("overwrite").parquet(f"{store}/postings/batch={batch_id}")
+    posts = spark.read.schema(f"{POSTING}, batch bigint").parquet(f"{store}/postings").where(F.col("batch") <= batch_id)
+    touched = posts.where(F.col("batch") == batch_id).select(*KEY).distinct()
+    near = posts.drop("batch").join(touched, KEY, "left_semi")
     kept = blocks(near).where(F.col("n").between(2, config.max_block_size))
     pairs = block_pairs(near, kept, config.max_day_delta).select("i", "j").distinct()
     new = pairs.join(fresh.select(F.col("idx").alias("i"), F.lit(True).alias("a")), "i", "left").join(fresh.select(F.col("idx").alias("j"), F.lit(True).alias("b")), "j", "left")
