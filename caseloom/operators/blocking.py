@@ -2,10 +2,12 @@
 
 A posting is (family, a, b, bucket, idx, day).  For pairing, its key is two
 64-bit hashes of (family, a, b), which sort and shuffle faster than strings.  A
-block is a bucket that has members together with the next bucket.  Blocks are
-counted first, pre-aggregated before their shuffle, and those of more than
-max_block_size members are left out before any posting is joined.  So hot terms
-never meet in a join, and a block gives at most max_block_size^2 / 2 rows.
+block is a bucket that has members together with the next bucket; those of more
+than max_block_size members give no pairs.  Blocks that hold more than one in
+HOT of all memberships are found by counts that are pre-aggregated before their
+shuffle, and their postings left out before any other; one shuffle then counts
+and gathers the members of every other block.  So hot terms never meet, and a
+block gives at most max_block_size^2 / 2 rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from caseloom.config import Linkage
 from caseloom.scratch import save
 
 KEY = ["h1", "h2"]
+AT = [*KEY, "base"]
+#: One in how many of all memberships a block must hold to be left out before the shuffle.
+HOT = 10_000
+#: Slots that memberships are counted in first.
+SLOTS = 1 << 16
 
 
 def bucket(day: Column, width: int) -> Column:
@@ -29,23 +36,29 @@ def _terms(column: str) -> Column:
     return F.array_distinct(F.filter(F.transform(column, lambda t: F.lower(F.trim(t))), lambda t: t != ""))
 
 
+def _keyed(reports: DataFrame, width: int, families: tuple[str, ...]) -> DataFrame:
+    """(family, a, b, bucket, idx, day) of the families, in one pass over the reports."""
+    sex = F.coalesce(F.nullif(F.lower(F.trim("sex")), F.lit("")), F.lit("_na_"))
+    known = lambda c: F.coalesce(_terms(c), F.array().cast("array<string>")).alias(c)
+    base = reports.select("idx", F.col("report_day").alias("day"), bucket(F.col("report_day"), width).alias("bucket"), known("drugs"), known("events"), sex.alias("sex"))
+    key = lambda family, a, b: F.struct(F.lit(family).alias("family"), a.alias("a"), b.alias("b"))
+    keys = {
+        "de": F.flatten(F.transform("drugs", lambda d: F.transform("events", lambda e: key("de", d, e)))),
+        "ds": F.transform("drugs", lambda d: key("ds", d, F.col("sex"))),
+        "es": F.transform("events", lambda e: key("es", e, F.col("sex"))),
+    }
+    return base.select(F.explode(F.concat(*[keys[f] for f in families])).alias("key"), "bucket", "idx", "day").select("key.*", "bucket", "idx", "day")
+
+
 def postings(reports: DataFrame, family: str, width: int = 90) -> DataFrame:
     """Postings of one key family: de (drug, event), ds (drug, sex), es (event, sex)."""
-    sex = F.coalesce(F.nullif(F.lower(F.trim("sex")), F.lit("")), F.lit("_na_"))
-    base = reports.select("idx", F.col("report_day").alias("day"), bucket(F.col("report_day"), width).alias("bucket"), _terms("drugs").alias("drugs"), _terms("events").alias("events"), sex.alias("sex"))
-    if family == "de":
-        keyed = base.withColumn("a", F.explode("drugs")).withColumn("b", F.explode("events"))
-    else:
-        keyed = base.withColumn("a", F.explode({"ds": "drugs", "es": "events"}[family])).withColumn("b", F.col("sex"))
-    return keyed.select(F.lit(family).alias("family"), "a", "b", "bucket", "idx", "day")
+    return _keyed(reports, width, (family,))
 
 
 def all_postings(reports: DataFrame, width: int = 90) -> DataFrame:
     """(h1, h2, bucket, idx, day): the postings of all families by hashed key."""
-    out = postings(reports, "de", width)
-    for family in ("ds", "es"):
-        out = out.unionByName(postings(reports, family, width))
-    return out.select(F.xxhash64("family", "a", "b").alias("h1"), F.xxhash64("b", "family", "a", F.lit(1)).alias("h2"), "bucket", "idx", "day")
+    hashed = _keyed(reports, width, ("de", "ds", "es"))
+    return hashed.select(F.xxhash64("family", "a", "b").alias("h1"), F.xxhash64("b", "family", "a", F.lit(1)).alias("h2"), "bucket", "idx", "day")
 
 
 def _at_bases(posts: DataFrame) -> DataFrame:
@@ -55,24 +68,38 @@ def _at_bases(posts: DataFrame) -> DataFrame:
 
 def blocks(posts: DataFrame) -> DataFrame:
     """(h1, h2, base, n): every bucket with members, and the number of members of it and the next."""
-    counted = _at_bases(posts).groupBy(*KEY, "base").agg(F.count("*").alias("n"), F.max(F.col("bucket") == F.col("base")).alias("own"))
-    return counted.where("own").select(*KEY, "base", "n")
+    counted = _at_bases(posts).groupBy(*AT).agg(F.count("*").alias("n"), F.max(F.col("bucket") == F.col("base")).alias("own"))
+    return counted.where("own").select(*AT, "n")
+
+
+def hot_blocks(posts: DataFrame, most: int) -> DataFrame:
+    """(h1, h2, base): blocks of more than `most` members and more than one in HOT of all memberships, so fewer than HOT.
+
+    Memberships are counted in SLOTS slots by hash; only blocks of slots beyond
+    that size, again fewer than HOT, are counted themselves.
+    """
+    least = max(most, 2 * posts.count() // HOT)
+    ends = _at_bases(posts).select(*AT, F.pmod(F.xxhash64(*AT), F.lit(SLOTS)).alias("slot"))
+    slots = ends.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > least).select("slot")
+    return ends.join(F.broadcast(slots), "slot", "left_semi").groupBy(*AT).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*AT)
 
 
-def block_pairs(posts: DataFrame, kept: DataFrame, max_day_delta: int) -> DataFrame:
-    """(h1, h2, base, i, j) of members of the kept blocks within the day band; a pair can come from several blocks."""
-    members = _at_bases(posts).select(*KEY, "base", "idx", "day").join(kept.select(*KEY, "base"), [*KEY, "base"], "left_semi")
-    left = members.select(*KEY, "base", F.col("idx").alias("i"), F.col("day").alias("day_i"))
-    right = members.select(*KEY, "base", F.col("idx").alias("j"), F.col("day").alias("day_j"))
-    near = (F.col("i") < F.col("j")) & (F.abs(F.col("day_i") - F.col("day_j")) <= max_day_delta)
-    return left.join(right, [*KEY, "base"]).where(near).select(*KEY, "base", "i", "j")
+def block_pairs(posts: DataFrame, most: int, max_day_delta: int) -> DataFrame:
+    """(h1, h2, base, i, j) of members of blocks of at most `most`, within the day band; a pair can come from several blocks."""
+    members = _at_bases(posts).join(F.broadcast(save(hot_blocks(posts, most), "hot")), AT, "left_anti")
+    # most members are alone; they go before members are gathered, which takes no further shuffle
+    block = Window.partitionBy(*AT)
+    members = members.withColumns({"n": F.count("*").over(block), "own": F.max(F.col("bucket") == F.col("base")).over(block)})
+    gathered = members.where("own").where(F.col("n").between(2, most)).groupBy(*AT).agg(F.collect_list(F.struct("idx", "day")).alias("all"))
+    each = gathered.select(*AT, "all", F.explode("all").alias("x"))
+    near = F.filter("all", lambda y: (y["idx"] > F.col("x.idx")) & (F.abs(y["day"] - F.col("x.day")) <= max_day_delta))
+    return each.select(*AT, F.col("x.idx").alias("i"), F.explode(near["idx"]).alias("j"))
 
 
 def candidate_pairs(reports: DataFrame, config: Linkage = Linkage()) -> DataFrame:
     """(i, j): distinct candidate pairs, without the cap on their number."""
     posts = save(all_postings(reports, config.max_day_delta), "postings")
-    kept = blocks(posts).where(F.col("n").between(2, config.max_block_size))
-    return block_pairs(posts, kept, config.max_day_delta).select("i", "j").distinct()
+    return block_pairs(posts, config.max_block_size, config.max_day_delta).select("i", "j").distinct()
 
 
 @dataclass(frozen=True)
@@ -92,28 +119,27 @@ def block_reports(reports: DataFrame, config: Linkage = Linkage()) -> Blocking:
     """
     posts = save(all_postings(reports, config.max_day_delta), "postings")
     every = save(blocks(posts), "blocks")
-    counts = every.agg(F.count_if(F.col("n") > config.max_block_size).alias("skipped")).first()
+    skipped = every.where(F.col("n") > config.max_block_size).count()
     n_keys = every.select(*KEY).distinct().count()
-    kept = every.where(F.col("n").between(2, config.max_block_size))
-    pairs = save(block_pairs(posts, kept, config.max_day_delta).select("i", "j").distinct(), "pairs")
+    pairs = save(block_pairs(posts, config.max_block_size, config.max_day_delta).select("i", "j").distinct(), "pairs")
     n_pairs = pairs.count()
     truncated = n_pairs > config.max_pairs
     if truncated:
-        pairs = save(_first_blocks(posts, kept, config), "pairs")
+        pairs = save(_first_blocks(posts, config), "pairs")
         n_pairs = pairs.count()
-    stats = {"n_reports": reports.count(), "n_blocks": n_keys, "n_candidate_pairs": n_pairs, "skipped_oversized_blocks": counts.skipped, "truncated": int(truncated)}
+    stats = {"n_reports": reports.count(), "n_blocks": n_keys, "n_candidate_pairs": n_pairs, "skipped_oversized_blocks": skipped, "truncated": int(truncated)}
     said = []
     if truncated:
         said.append(f"Candidate pairs passed the cap of {config.max_pairs:,}; pairs of further blocks are missing, so recall is unknown. Use a smaller day window or block size, or more selective keys.")
-    if n_keys and counts.skipped / n_keys > 0.05:
-        said.append(f"{counts.skipped:,} blocks ({counts.skipped / n_keys:.1%}) hold more than {config.max_block_size} reports and were left out.")
+    if n_keys and skipped / n_keys > 0.05:
+        said.append(f"{skipped:,} blocks ({skipped / n_keys:.1%}) hold more than {config.max_block_size} reports and were left out.")
     return Blocking(pairs, stats, tuple(said))
 
 
-def _first_blocks(posts: DataFrame, kept: DataFrame, config: Linkage) -> DataFrame:
+def _first_blocks(posts: DataFrame, config: Linkage) -> DataFrame:
     """Pairs of blocks in hash order while those before number at most max_pairs."""
     order = F.pmod(F.xxhash64(*KEY, "base"), F.lit(1 << 16)).cast("int")
-    each = block_pairs(posts, kept, config.max_day_delta).withColumn("slot", order)
+    each = block_pairs(posts, config.max_block_size, config.max_day_delta).withColumn("slot", order)
     # a pair counts where it comes first; slots are few, so their running total is small
     first = save(each.groupBy("i", "j").agg(F.min(F.struct("slot", *KEY, "base")).alias("at")), "first_blocks")
     slots = first.groupBy("at.slot").agg(F.count("*").alias("n"))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caseloom.config import FIELDS, Linkage
-from caseloom.operators.blocking import KEY, all_postings, block_pairs, blocks
+from caseloom.operators.blocking import KEY, all_postings, block_pairs
 from caseloom.operators.em import PRIORS, Model, score
 from caseloom.operators.features import compare
 from caseloom.plans.linkage import demographic_veto
+from caseloom.scratch import save
 from caseloom.sources.reports import SCHEMA
 
 #: What a stored posting holds.
@@ -33,9 +34,8 @@ def link_batch(batch: DataFrame, batch_id: int, store: str, config: Linkage = Li
     all_postings(spark.read.schema(SCHEMA).parquet(f"{store}/reports/batch={batch_id}"), config.max_day_delta).write.mode("overwrite").parquet(f"{store}/postings/batch={batch_id}")
     posts = spark.read.schema(f"{POSTING}, batch bigint").parquet(f"{store}/postings").where(F.col("batch") <= batch_id)
     touched = posts.where(F.col("batch") == batch_id).select(*KEY).distinct()
-    near = posts.drop("batch").join(touched, KEY, "left_semi")
-    kept = blocks(near).where(F.col("n").between(2, config.max_block_size))
-    pairs = block_pairs(near, kept, config.max_day_delta).select("i", "j").distinct()
+    near = save(posts.drop("batch").join(touched, KEY, "left_semi"), "near")
+    pairs = block_pairs(near, config.max_block_size, config.max_day_delta).select("i", "j").distinct()
     new = pairs.join(fresh.select(F.col("idx").alias("i"), F.lit(True).alias("a")), "i", "left").join(fresh.select(F.col("idx").alias("j"), F.lit(True).alias("b")), "j", "left")
     compared = compare(new.where("a or b").select("i", "j"), reports, config)
     found = demographic_veto(score(compared, config, model))
