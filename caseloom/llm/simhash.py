@@ -150,6 +150,15 @@ def variant_index(prints: DataFrame, distance: int = 2, segments: int | None = N
     return prints.select(F.explode(F.array(*variants)).alias("key"), name)
 
 
+def _under(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the index under the keys.
+
+    Neither side is broadcast: Spark takes an index for as large as the table
+    it is made from, which it is 64 times and more.
+    """
+    return index.join(keys.hint("merge"), "key")
+
+
 def _spread(prints: DataFrame) -> DataFrame:
     """The rows dealt to enough tasks for each to be taken 64 times."""
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // TASK_ROWS + 1)
@@ -164,7 +173,7 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> DataFrame
     """
     index = variant_index(_spread(prints), distance)
     counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = save(index.join(counts, "key").select("key", "fp", "n"), "variants")
+    shared = save(_under(index, counts).select("key", "fp", "n"), "variants")
     calm = shared.where(F.col("n") <= crowd).select("key", "fp")
     if crowd <= 2:
         found = calm.groupBy("key").agg(F.min("fp").alias("src"), F.max("fp").alias("dst")).select("src", "dst")
@@ -253,7 +262,7 @@ def candidates(nodes: DataFrame, prints: int, far: float = FAR) -> DataFrame:
     for j in range(prints):  # written one by one, so that the variants of one fingerprint at a time are shuffled
         index = variant_index(nodes.select("node", F.col(f"fp{j}").alias("fp")), segments=2, name="node")
         heads = index.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("key", "a")
-        pairs = index.withColumnRenamed("node", "b").join(heads, "key").where("a < b")
+        pairs = _under(index.withColumnRenamed("node", "b"), heads).where("a < b")
         met.append(save(pairs.select("a", "b").distinct(), "met"))
     found = met[0]
     for more in met[1:]:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from caseloom.llm import simhash
 
@@ -120,3 +121,14 @@ def test_registered_query_matches_brute_force(spark, tmp_path):
     groups = brute_components(prints, 2)
     assert 1 < len(set(groups.values())) < 60
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in op10_simhash(spark, str(tmp_path)).collect()} == {(i, f"{p:016x}", groups[i]) for i, p in prints}
+
+
+def test_variants_are_never_broadcast(spark):
+    """A table of a few MB has variants that no driver of 1 GB can hold."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    index = simhash.variant_index(spark.range(200).select(F.xxhash64("id").alias("fp")))
+    counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    for one, two in ((index, counts), (index, counts.limit(5))):
+        assert "Broadcast" not in simhash._under(one, two)._jdf.queryExecution().executedPlan().toString()
+    assert simhash._under(index, counts).count() == index.join(counts, "key").count()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
