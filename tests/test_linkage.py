@@ -299,3 +299,20 @@ def test_stream_links_new_reports_with_stored_ones(spark, tmp_path):
     # term weights grow with what has arrived, so only pairs of equal sets are the same at every time
     sure = {(r.report_id_a, r.report_id_b) for r in strong.where("drug_jaccard = 1 and event_jaccard = 1").collect()}
     assert sure and sure <= keys
+
+
+@pytest.mark.parametrize("most, days", [(300, 90), (8, 90), (15, 30)])
+def test_passes_and_pieces_change_nothing(spark, monkeypatch, most, days):
+    """Pairs are made in passes over the days, and compared in pieces; each pair comes once."""
+    rows, config = random_rows(11, 150), replace(MANUAL, max_block_size=most, max_day_delta=days)
+    reports = table(spark, rows)
+    one = link(reports, config)
+    want = sorted(map(tuple, one.clusters.collect())), sorted(map(tuple, one.pairs.collect())), one.diagnostics
+    monkeypatch.setattr(blocking, "PASS", 40)
+    monkeypatch.setattr(blocking, "KEYS_AT_ONCE", 200)
+    monkeypatch.setattr(features, "PIECE", 300)
+    assert len(blocking.ranges(reports, days)) > 2
+    got = [tuple(r) for r in blocking.candidate_pairs(reports, config).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, config)
+    many = link(reports, config)
+    assert (sorted(map(tuple, many.clusters.collect())), sorted(map(tuple, many.pairs.collect())), many.diagnostics) == want
