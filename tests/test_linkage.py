@@ -316,3 +316,11 @@ def test_passes_and_pieces_change_nothing(spark, monkeypatch, most, days):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, config)
     many = link(reports, config)
     assert (sorted(map(tuple, many.clusters.collect())), sorted(map(tuple, many.pairs.collect())), many.diagnostics) == want
+
+
+def test_whole_runs_take_pairs_beyond_the_cap(spark):
+    rows = random_rows(4, 200)
+    found = blocking.block_reports(table(spark, rows), Linkage(max_pairs=60), whole=True)
+    assert found.stats["truncated"] == 0 and not found.warnings
+    assert {tuple(r) for r in found.pairs.collect()} == brute_pairs(rows, Linkage()) and found.stats["n_candidate_pairs"] > 60
+    assert link(table(spark, rows), replace(MANUAL, max_pairs=60), whole=True).diagnostics["blocking"]["truncated"] == 0
