@@ -132,3 +132,19 @@ def test_variants_are_never_broadcast(spark):
         assert "Broadcast" not in simhash._under(one, two)._jdf.queryExecution().executedPlan().toString()
     assert simhash._under(index, counts).count() == index.join(counts, "key").count()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_variants_that_candidates_join_are_never_broadcast(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    plans = []
+
+    def saved(df, name):
+        if name == "met":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "save", saved)
+    nodes = spark.range(200).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp0"), F.xxhash64("id", "id").alias("fp1"))
+    simhash.candidates(nodes, 2)
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
