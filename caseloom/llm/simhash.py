@@ -23,7 +23,8 @@ fingerprints are within d bits.
 For a similarity instead of a number of bits, `representatives` takes the same
 one-wildcard variants of all segments of several fingerprints to propose pairs,
 counts the differing bits of all fingerprints, and verifies by the exact
-Jaccard index.
+Jaccard index.  Links between the groups so found, which no fingerprint has
+proposed, come by another exact way (`prefixes.py`), so none is left out.
 
 Cases: a null or empty text has fingerprint zero, which links like any other;
 a text with fewer words than a shingle is one shingle; repeated shingles count
@@ -42,36 +43,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.blocks import sliced
+from caseloom.llm.prefixes import across
+from caseloom.llm.shingles import shingle_hashes, shingle_sets
 from caseloom.operators.components import connected_components
 from caseloom.scratch import save
 
-SEED = 42
 #: Distinct fingerprints under one key beyond which pairs are not joined directly.
 CROWD = 2
 #: Fingerprints of which one task makes the variants, at most.
 TASK_ROWS = 50_000
 #: Share of differing bits beyond which a candidate pair is not looked at; pairs at Jaccard 0.8 differ in a tenth (at most 0.152 in 3,662).
 FAR = 0.18
-#: Bytes of text whose shingle sets are made at once.
-SET_BYTES = 1 << 20
 #: Hashes whose bits are unpacked at once.
 ROWS = 1 << 15
 
 
-def shingle_hashes(text: bytes, size: int) -> list[int]:
-    """XXH64 of every shingle of `size` words; ASCII capitals count as small, words end at ASCII white space."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if len(words) <= size:
-        return [xxh64_intdigest(b" ".join(words), SEED)] if words else []
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return [xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
-
-
 def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Fingerprints of runs of hashes; run i is hashes[bounds[i]:bounds[i + 1]]; an empty run gives zero."""
     counts = np.zeros((len(bounds) - 1, 64), np.int64)
@@ -238,17 +224,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(classes, "node").select("id", F.col("fp0").alias("fp"), "component")
 
 
-def shingle_sets(rows: DataFrame, size: int = 5) -> DataFrame:
-    """(node, n, shingles) of rows (node, text): the sorted distinct shingle hashes of each text and their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1, SET_BYTES):
-            sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), size), np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, n long, shingles array<long>")
-
-
 def candidates(nodes: DataFrame, prints: int, far: float = FAR) -> DataFrame:
     """(a, b), a < b: nodes that share a one-wildcard variant of a 32-bit segment and differ in at most `far` of all bits.
 
@@ -273,13 +248,13 @@ def candidates(nodes: DataFrame, prints: int, far: float = FAR) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard index of `least` or more; two empty sets are equal.
+    """The pairs (a, b, ...) whose sets have a Jaccard index of `least` or more; two empty sets are equal.
 
     sets: (node, n, shingles).
     """
     both = F.size(F.array_intersect("p", "q"))
     found = pairs.join(sets.toDF("a", "x", "p"), "a").join(sets.toDF("b", "y", "q"), "b")
-    return found.where(F.least("x", "y") >= least * F.greatest("x", "y")).where(both >= least * (F.col("x") + F.col("y") - both)).select("a", "b")
+    return found.where(F.least("x", "y") >= least * F.greatest("x", "y")).where(both >= least * (F.col("x") + F.col("y") - both)).select(*pairs.columns)
 
 
 def representatives(rows: DataFrame, least: float = 0.8, size: int = 5, shingle: int = 2, prints: int = 6) -> DataFrame:
@@ -289,8 +264,9 @@ def representatives(rows: DataFrame, least: float = 0.8, size: int = 5, shingle:
     texts.  Texts are linked if their Jaccard index on distinct shingles of
     `size` words is `least` or more; a group is what links connect.
     Fingerprints of runs of `shingle` words only propose pairs: fewer words
-    than `size`, as a changed word changes fewer of those.  Equal texts meet
-    before, by a 128-bit hash, so copies cost no more than one row each.
+    than `size`, as a changed word changes fewer of those.  Between the groups
+    that these make, all further links are found by common shingles.  Equal texts
+    meet before, by a 128-bit hash, so copies cost no more than one row each.
     """
     spark = rows.sparkSession
     names = [f"fp{j}" for j in range(prints)]
@@ -300,8 +276,14 @@ def representatives(rows: DataFrame, least: float = 0.8, size: int = 5, shingle:
     # numbered in the order of keys; numbers hold once written
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = save(texts.repartitionByRange(parts, "key").sortWithinPartitions("key").select(F.monotonically_increasing_id().alias("node"), "key", *names), "nodes")
-    pairs = candidates(nodes, prints)
+    parts_of = save(connected_components(_verified(candidates(nodes, prints), rows, nodes, size, least), "a", "b").where("node <> component"), "parts")
+    groups = nodes.join(parts_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    more = connected_components(_verified(across(rows, groups, size, least), rows, nodes, size, least), "a_group", "b_group").where("node <> component")
+    return nodes.join(parts_of, "node", "left_anti").join(more, "node", "left_anti").select("key")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b, ...) of nodes whose texts have a Jaccard index of `least` or more."""
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "wanted")
     sets = save(shingle_sets(rows.join(wanted, "key").select("node", "text"), size).dropDuplicates(["node"]), "shingles")
-    parts_of = connected_components(similar(pairs, sets, least), "a", "b")
-    return nodes.join(parts_of.where("node <> component"), "node", "left_anti").select("key")
+    return similar(pairs, sets, least)

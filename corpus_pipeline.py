@@ -53,8 +53,9 @@ def _row_hash(docs: DataFrame) -> Column:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies the row with the least id stays.
 
-    Fingerprints only propose pairs; texts are linked if their Jaccard index on
-    distinct shingles is SIMILAR or more, and links make groups.  A row is named
+    Texts are linked if their Jaccard index on distinct shingles is SIMILAR or
+    more, and links make groups.  Fingerprints propose pairs; links that they
+    leave out are found by common shingles, without exception.  A row is named
     by its id and a hash of all its columns, so rows that share an id but not a
     text are told apart and reruns choose alike; of equal rows one stays.
     """
