@@ -22,11 +22,12 @@ results; other columns are kept where a column is added, else ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +75,12 @@ def features(text: str) -> list[float]:
     ]
 
 
-def matrix(texts) -> np.ndarray:
+def _one_by_one(column: pa.Array) -> Iterator[str | None]:
+    """The texts, of which no more than one is copied from the column at a time."""
+    return (t.as_py() for t in column)
+
+
+def matrix(texts: Iterable[str | None]) -> np.ndarray:
     rows = [features(t or "") for t in texts]
     return np.array(rows, np.float64).reshape(len(rows), N_FEATURES)
 
@@ -105,9 +111,9 @@ class Ranking:
         """The score of a text column."""
         model = self
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return pd.Series(model.score(matrix(texts)))
+        @F.arrow_udf("double")
+        def score(texts: pa.Array) -> pa.Array:
+            return pa.array(model.score(matrix(_one_by_one(texts))))
 
         return score(text)
 
@@ -164,9 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.orderBy(F.xxhash64("key", F.lit(1)), "key", "label").limit(rows)
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("array<double>")
-    def row(column: pd.Series) -> pd.Series:
-        return pd.Series(list(matrix(column)))
+    @F.arrow_udf("array<double>")
+    def row(column: pa.Array) -> pa.Array:
+        return pa.array(list(matrix(_one_by_one(column))), pa.list_(pa.float64()))
 
     # repeated ids can give more rows than labels: those of least hash are taken, so reruns agree; equal hashes are equal texts
     known = texts.join(F.broadcast(chosen), "key").select("label", F.xxhash64("text").alias("h"), row("text").alias("x"))

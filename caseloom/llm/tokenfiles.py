@@ -114,7 +114,7 @@ _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
 def encoder_of(path: str, dtype: str) -> PieceEncoder:
-    """This process's encoder; workers that are used again keep what they have learnt."""
+    """This process's encoder; workers that are used again keep what they have learnt until files are read back."""
     if (path, dtype) not in _encoders:
         _encoders[path, dtype] = PieceEncoder(path, dtype)
     return _encoders[path, dtype]
@@ -199,6 +199,25 @@ class Reader:
             i = j
 
 
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `summary` for files (part, path, n_docs, start).
+
+    What a worker that is used again has learnt while the files were written is
+    not needed any more: some hundred MB, which later stages may want.
+    """
+    _encoders.clear()
+    for batch in batches:
+        for row in batch.to_pylist():
+            store, path = _store(row["path"])
+            with store.open_input_file(path) as source:
+                file = Reader(source)
+                sizes = (file.table[:, 1] // file.dtype.itemsize).astype(np.int64)
+                starts = row["start"] + np.concatenate(([0], np.cumsum(sizes)))[:-1]
+                sums = np.fromiter((zlib.crc32(x.astype("<u4").tobytes()) for x in file.documents()), np.int64, len(file))
+                none = file.ids == NO_ID
+                yield pa.RecordBatch.from_arrays([pa.array(file.ids, pa.int64(), mask=none), pa.array(starts), pa.array(sizes), pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 @dataclass(frozen=True)
 class TokenCorpus:
     """A written corpus: one manifest row (part, path, n_docs, n_ids) for each file, in order."""
@@ -217,19 +236,7 @@ class TokenCorpus:
     def summary(self) -> DataFrame:
         """Reads every file back: (doc_id, start, n_tokens, ids_crc32) for each document."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    store, path = _store(row["path"])
-                    with store.open_input_file(path) as source:
-                        file = Reader(source)
-                        sizes = (file.table[:, 1] // file.dtype.itemsize).astype(np.int64)
-                        starts = row["start"] + np.concatenate(([0], np.cumsum(sizes)))[:-1]
-                        sums = np.fromiter((zlib.crc32(x.astype("<u4").tobytes()) for x in file.documents()), np.int64, len(file))
-                        none = file.ids == NO_ID
-                        yield pa.RecordBatch.from_arrays([pa.array(file.ids, pa.int64(), mask=none), pa.array(starts), pa.array(sizes), pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-        return self.files().repartitionById(max(1, len(self.manifest)), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return self.files().repartitionById(max(1, len(self.manifest)), "part").mapInArrow(_summaries, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def lookup(self, doc_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(doc_id, ids) of the documents asked for; only their frames are decompressed.

@@ -61,3 +61,15 @@ def test_strength_differences_are_log_odds():
     good, bad = s[label == 1], s[label == 0]
     assert (good[:, None] > bad[None, :]).mean() > 0.97
     assert abs((model.score(x) >= 0.3).sum() - label.sum()) <= 1
+
+
+def test_texts_of_a_batch_are_not_copied_all_at_once(spark):
+    import pyarrow as pa
+
+    got = quality._one_by_one(pa.array(["a", None, "b c"]))
+    assert iter(got) is got and list(got) == ["a", None, "b c"]
+    docs, labels = corpus(200)
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    model = quality.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    scores = {r.doc_id: r.s for r in table.select("doc_id", model.column("text").alias("s")).collect()}
+    assert [scores[d[0]] for d in docs] == model.score(quality.matrix([d[1] for d in docs])).tolist()

@@ -103,3 +103,9 @@ def test_whole_query_matches_brute_force(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(tuple(r) for r in op9_seekable_zstd(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_worker_that_reads_files_back_gives_up_what_it_has_learnt():
+    T.encoder_of(PATH, "<u2").encode_many(["some words"])
+    assert list(T._summaries(iter([]))) == [] and not T._encoders
+    assert T.encoder_of(PATH, "<u2").encode_many(["some words"])[0] == T.PieceEncoder(PATH, "<u2").whole("some words")
