@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.prefixes import across
 from caseloom.llm.shingles import shingle_hashes, shingle_sets
 from caseloom.operators.components import connected_components
-from caseloom.scratch import save
+from caseloom.scratch import save, save_all
 
 #: Distinct fingerprints under one key beyond which pairs are not joined directly.
 CROWD = 2
@@ -54,6 +54,8 @@ CROWD = 2
 TASK_ROWS = 50_000
 #: Share of differing bits beyond which a candidate pair is not looked at; pairs at Jaccard 0.8 differ in a tenth (at most 0.152 in 3,662).
 FAR = 0.18
+#: Pieces in which the sets of pairs are compared, at most, and pairs from which there is one more.
+PIECES, PIECE_ROWS = 8, 10_000
 #: Hashes whose bits are unpacked at once.
 ROWS = 1 << 15
 
@@ -286,4 +288,6 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, le
     """The pairs (a, b, ...) of nodes whose texts have a Jaccard index of `least` or more."""
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "wanted")
     sets = save(shingle_sets(rows.join(wanted, "key").select("node", "text"), size).dropDuplicates(["node"]), "shingles")
-    return similar(pairs, sets, least)
+    # one piece after the other, so that the sets that go with the pairs of one piece at a time are shuffled
+    n = min(PIECES, pairs.count() // PIECE_ROWS + 1)
+    return save_all((similar(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == i), sets, least) for i in range(n)), "similar")

@@ -87,3 +87,16 @@ def test_a_sample_orders_shingles_that_are_often_seen_last(spark):
     assert set(seen.tolist()) == shingles(line) and np.all(n > 1)
     own = np.unique(np.array([*shingles(f"{line} own"), 5, 6, 7], np.uint64))
     assert set(prefixes.prefix(own, 0.5, seen, n).tolist()) >= {5, 6, 7}
+
+
+def test_pairs_are_verified_in_pieces(spark, monkeypatch):
+    texts = edges_near_the_threshold(random.Random(7), 40)
+    rows, made = keyed(spark, texts), []
+    nodes = rows.select(F.col("key.doc_id").alias("node"), "key")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1, i) for i in range(40)], "a long, b long, more long")
+    monkeypatch.setattr(simhash, "PIECE_ROWS", 10)
+    similar = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda *x: made.append(1) or similar(*x))
+    got = {tuple(r) for r in simhash._verified(pairs, rows, nodes, 5, 0.8).collect()}
+    assert len(made) == 5
+    assert got == {(2 * i, 2 * i + 1, i) for i in range(40) if index(shingles(texts[2 * i]), shingles(texts[2 * i + 1])) >= 0.8}
