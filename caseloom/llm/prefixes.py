@@ -10,6 +10,12 @@ in which the parities of the sets' shingles, dealt to BITS places, differ (each
 shingle of only one of the sets turns one bit, so there are at most as many as
 such shingles).
 
+`sifted` applies the second bound once more to pairs that are named, with places
+in proportion to the sets: among 512 places those of large sets differ in about
+half, whatever the sets, so pairs of large sets pass the first sieve.  What it
+needs of a set is about a fortieth of it, so the sets themselves go with few
+pairs that aren't links.
+
 `across` makes pairs between different groups only.  Links that another way has
 found leave one group of near copies under most shingles, so those give no
 pairs; under the others their number can grow with the square of the members,
@@ -41,6 +47,8 @@ from caseloom.scratch import save
 SHARE, KEPT = 16, 1 << 17
 #: Places of the parities, a multiple of 64.
 BITS = 512
+#: Places of the parities that named pairs are sifted by: of a set, and at most (then 4 KB for each side of a pair).
+LEAST_PLACES, MOST_PLACES = 64, 1 << 15
 #: Added to a bound so that rounding drops no pair.
 SLACK = 1e-6
 
@@ -77,9 +85,9 @@ def prefix(found: np.ndarray, least: float, seen: np.ndarray, n_seen: np.ndarray
     return found[np.lexsort((found, rank))[:first]]
 
 
-def parity(found: np.ndarray) -> np.ndarray:
-    """BITS bits as signed longs: bit i is set if an odd number of the shingles is i modulo BITS."""
-    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+def parity(found: np.ndarray, places: int = BITS) -> np.ndarray:
+    """As many bits as there are places, as signed longs: bit i is set if an odd number of the shingles is i modulo places."""
+    odd = np.bincount((found % np.uint64(places)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -118,3 +126,42 @@ def across(rows: DataFrame, groups: DataFrame, size: int, least: float) -> DataF
     x, y = F.col("a_n"), F.col("b_n")
     both = both.where(F.least(x, y) + SLACK >= least * F.greatest(x, y)).where(_differing("a_bits", "b_bits") * (1 + least) <= (1 - least) * (x + y) + SLACK)
     return save(both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_part").alias("a_group"), F.col("b_part").alias("b_group")).distinct(), "across")
+
+
+def places(n: int) -> int:
+    """Places for the parities of a set of n shingles: the next power of two, so that the more of two can be folded to the fewer."""
+    return min(MOST_PLACES, max(LEAST_PLACES, 1 << max(n - 1, 0).bit_length()))
+
+
+def differing(p: bytes, q: bytes) -> int:
+    """The number of bits in which the parities of two sets differ, over as many places as both have."""
+    a, b = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)))).sum())
+
+
+def parities(rows: DataFrame, size: int) -> DataFrame:
+    """(node, n, odd) of rows (node, text): the number of distinct shingles and their parities over places in proportion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1, SET_BYTES):
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            odd = pa.array([parity(x, places(len(x))).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), odd], names=["node", "n", "odd"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, odd binary")
+
+
+def sifted(pairs: DataFrame, odd: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, ...) without those that the two bounds rule out; odd: (node, n, odd)."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.fromiter((differing(p.as_py(), q.as_py()) for p, q in zip(batch.column("p"), batch.column("q"))), np.int64, batch.num_rows)
+            both = batch.column("x").to_numpy() + batch.column("y").to_numpy()
+            yield batch.select(names).filter(pa.array(far * (1 + least) <= (1 - least) * both + SLACK))
+
+    # neither side of a join is broadcast: both grow with the pairs
+    sides = pairs.join(odd.toDF("a", "x", "p").hint("merge"), "a").join(odd.toDF("b", "y", "q").hint("merge"), "b")
+    sides = sides.where(F.least("x", "y") + SLACK >= least * F.greatest("x", "y")).select(*names, "x", "y", "p", "q")
+    return sides.mapInArrow(run, pairs.schema)

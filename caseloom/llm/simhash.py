@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.prefixes import across
+from caseloom.llm.prefixes import across, parities, sifted
 from caseloom.llm.shingles import shingle_hashes, shingle_sets
 from caseloom.operators.components import connected_components
 from caseloom.scratch import save, save_all
@@ -278,16 +278,29 @@ def representatives(rows: DataFrame, least: float = 0.8, size: int = 5, shingle:
     # numbered in the order of keys; numbers hold once written
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = save(texts.repartitionByRange(parts, "key").sortWithinPartitions("key").select(F.monotonically_increasing_id().alias("node"), "key", *names), "nodes")
-    parts_of = save(connected_components(_verified(candidates(nodes, prints), rows, nodes, size, least), "a", "b").where("node <> component"), "parts")
+    near = _near(candidates(nodes, prints), rows, nodes, size, least)
+    parts_of = save(connected_components(_verified(near, rows, nodes, size, least), "a", "b").where("node <> component"), "parts")
     groups = nodes.join(parts_of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    more = connected_components(_verified(across(rows, groups, size, least), rows, nodes, size, least), "a_group", "b_group").where("node <> component")
+    near = _near(across(rows, groups, size, least), rows, nodes, size, least)
+    more = connected_components(_verified(near, rows, nodes, size, least), "a_group", "b_group").where("node <> component")
     return nodes.join(parts_of, "node", "left_anti").join(more, "node", "left_anti").select("key")
 
 
+def _texts(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs (a, b, ...), a row for each row of a node's key."""
+    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key").hint("merge"), "node"), "wanted")
+    return rows.join(wanted, "key").select("node", "text")
+
+
+def _near(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b, ...) of nodes that may have a Jaccard index of `least` or more, by parities of their shingles."""
+    odd = save(parities(_texts(pairs, rows, nodes), size).dropDuplicates(["node"]), "parities")
+    return save(sifted(pairs, odd, least), "near")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
     """The pairs (a, b, ...) of nodes whose texts have a Jaccard index of `least` or more."""
-    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node"), "wanted")
-    sets = save(shingle_sets(rows.join(wanted, "key").select("node", "text"), size).dropDuplicates(["node"]), "shingles")
-    # one piece after the other, so that the sets that go with the pairs of one piece at a time are shuffled
+    sets = save(shingle_sets(_texts(pairs, rows, nodes), size).dropDuplicates(["node"]), "shingles")
+    # one piece after the other, so that the sets that go with the pairs of one piece at a time are shuffled; by b, whose sets so take part in one piece each
     n = min(PIECES, pairs.count() // PIECE_ROWS + 1)
-    return save_all((similar(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(n)) == i), sets, least) for i in range(n)), "similar")
+    return save_all((similar(pairs.where(F.pmod(F.xxhash64("b"), F.lit(n)) == i), sets, least) for i in range(n)), "similar")

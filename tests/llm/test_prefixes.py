@@ -100,3 +100,40 @@ def test_pairs_are_verified_in_pieces(spark, monkeypatch):
     got = {tuple(r) for r in simhash._verified(pairs, rows, nodes, 5, 0.8).collect()}
     assert len(made) == 5
     assert got == {(2 * i, 2 * i + 1, i) for i in range(40) if index(shingles(texts[2 * i]), shingles(texts[2 * i + 1])) >= 0.8}
+
+
+def test_large_texts_that_share_a_passage_are_ruled_out_before_their_sets_are_compared(spark, monkeypatch):
+    rng = random.Random(11)
+    line = [f"line{i}" for i in range(150)]
+    texts = [" ".join([*line, *(f"t{i}w{rng.randrange(5000)}" for _ in range(1350))]) for i in range(40)]
+    texts += [" ".join([*t.split()[:-9], *(f"new{i}x{j}" for j in range(9))]) for i, t in enumerate(texts[:10])]
+    compared, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *x: compared.append(pairs.count()) or similar(pairs, *x))
+    got = {r.key.doc_id for r in simhash.representatives(keyed(spark, texts)).collect()}
+    assert got == set(range(40))
+    assert 10 <= sum(compared) < 40  # not the 1,225 pairs that share the passage
+
+
+def test_parities_in_proportion_rule_out_no_link(spark):
+    from caseloom.llm import prefixes
+
+    texts = edges_near_the_threshold(random.Random(13), 150)
+    texts += [" ".join(f"w{i}" for i in range(n)) for n in (4, 5, 6, 66, 68, 69, 80, 132, 133, 160, 258, 260, 261, 310)]  # their sets cross powers of two
+    texts += ["", None, " \n", "one", "One", "a b c d e f"]
+    sets = [shingles(t) for t in texts]
+    pairs = {(a, b, a % 3) for b in range(len(texts)) for a in range(b) if b == a + 1 or a >= 300}
+    odd = prefixes.parities(keyed(spark, texts).select(F.col("key.doc_id").alias("node"), "text"), 5)
+    frame = spark.createDataFrame(sorted(pairs), "a long, b long, more long")
+    got = {tuple(r) for r in prefixes.sifted(frame, odd, 0.8).collect()}
+    linked = {p for p in pairs if index(sets[p[0]], sets[p[1]]) >= 0.8}
+    assert linked <= got <= pairs and len(linked) > 60 and len(got) < len(pairs) - 150
+    assert prefixes.sifted(frame.limit(0), odd, 0.8).columns == ["a", "b", "more"]
+    assert prefixes.sifted(frame.limit(0), odd, 0.8).count() == 0
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 64, 65, 500, 513, 5000]:
+        for m in [0, 1, 60, 64, 65, 600, 6000]:
+            whole = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+            a, b = whole[:n], whole[max(0, n - m // 2) : max(0, n - m // 2) + m]
+            differ = prefixes.differing(*(prefixes.parity(x, prefixes.places(len(x))).tobytes() for x in (a, b)))
+            assert differ <= len(np.setxor1d(a, b))
+    assert prefixes.places(10**7) == prefixes.MOST_PLACES
