@@ -246,7 +246,8 @@ def candidates(nodes: DataFrame, prints: int, far: float = FAR) -> DataFrame:
         found = found.unionByName(more)
     sides = [nodes.select(F.col("node").alias(side), F.array(*[f"fp{j}" for j in range(prints)]).alias(f"{side}_bits")) for side in "ab"]
     bits = sum((F.bit_count(F.col("a_bits")[j].bitwiseXOR(F.col("b_bits")[j])) for j in range(1, prints)), F.bit_count(F.col("a_bits")[0].bitwiseXOR(F.col("b_bits")[0])))
-    return save(found.distinct().join(sides[0], "a").join(sides[1], "b").where(bits <= int(64 * prints * far)).select("a", "b"), "candidates")
+    # as in _under, neither side is broadcast: Spark takes an array for one number
+    return save(found.distinct().join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b").where(bits <= int(64 * prints * far)).select("a", "b"), "candidates")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -148,3 +148,19 @@ def test_the_variants_that_candidates_join_are_never_broadcast(spark, monkeypatc
     simhash.candidates(nodes, 2)
     assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_fingerprints_that_candidates_are_measured_by_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Spark takes their array for one number, so they are larger than they look."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    plans = {}
+
+    def saved(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    spark.range(200).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp0"), F.xxhash64("id", "id").alias("fp1")).write.parquet(f"{tmp_path}/nodes")
+    monkeypatch.setattr(simhash, "save", saved)
+    simhash.candidates(spark.read.parquet(f"{tmp_path}/nodes"), 2)
+    assert "Broadcast" not in plans["candidates"]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
