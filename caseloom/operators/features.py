@@ -27,19 +27,23 @@ def idf(reports: DataFrame, column: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("weight", F.log1p(n / F.col("df")))
 
 
-def weighted(reports: DataFrame, column: str) -> DataFrame:
-    """(idx, column_terms, column_total): each report's sorted terms with weights, and their sum."""
-    each = reports.select("idx", F.explode(F.array_distinct(column)).alias("term")).join(idf(reports, column).select("term", "weight"), "term")
+def weighted(reports: DataFrame, column: str, weights: DataFrame | None = None) -> DataFrame:
+    """(idx, column_terms, column_total): each report's sorted terms with weights, and their sum; weights: those of `idf`, if they are made already."""
+    weights = idf(reports, column) if weights is None else weights
+    each = reports.select("idx", F.explode(F.array_distinct(column)).alias("term")).join(weights.select("term", "weight"), "term")
     items = each.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias(f"{column}_terms"))
     return items.withColumn(f"{column}_total", F.aggregate(f"{column}_terms", F.lit(0.0), lambda s, x: s + x["weight"]))
 
 
-def sides(reports: DataFrame) -> DataFrame:
-    """One row for each report with what comparisons need; the sums are taken before pairs multiply the rows."""
+def sides(reports: DataFrame, weights: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row for each report with what comparisons need; the sums are taken before pairs multiply the rows.
+
+    weights: those of drugs and events, for some of the reports that they were counted in.
+    """
     known = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     base = reports.select("idx", "report_id", "age", known("sex").alias("sex"), known("seriousness").alias("seriousness"), "report_day")
     for column in ("drugs", "events"):
-        base = base.join(weighted(reports, column), "idx", "left")
+        base = base.join(weighted(reports, column, weights and weights[column]), "idx", "left")
     return base
 
 
