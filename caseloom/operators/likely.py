@@ -196,5 +196,6 @@ def compare_likely(reports: DataFrame, config: Linkage, least: float) -> DataFra
     weights = {c: save(idf(reports, c), f"idf_{c}") for c in ("drugs", "events")}
     pairs = save(likely_pairs(reports, weights, config, least), "pairs")
     named = pairs.select(F.explode(F.array("i", "j")).alias("idx")).distinct()
-    side = save(sides(reports.join(named, "idx", "left_semi"), weights), "sides")
+    # written, as all three parts of `sides` read them
+    side = save(sides(save(reports.join(named, "idx", "left_semi"), "named"), weights), "sides")
     return save(compare(pairs, reports, config, side), "compared")
